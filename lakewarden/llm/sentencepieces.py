@@ -31,8 +31,8 @@ from .common import fresh, map_arrow, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches that a task remembers at most, and characters in a stretch that is.
-MEMORY, MEMORY_CHARS = 300_000, 48
+#: Stretches that a task remembers at most, in each of two generations, and characters in a stretch that is.
+MEMORY, MEMORY_CHARS = 250_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,7 +98,17 @@ class Search:
     def __init__(self, model: Model):
         self.m = model
         self.memory: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends: dict[str, tuple[list, list] | None] = {}
+        self.joined = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
+        self.fit_ids: dict[int, bool] = {}
+        # Lengths of the pieces, from the longest, by their last three characters (or all they have).
+        tails: dict[str, set[int]] = {}
+        for p in model.ids:
+            for k in range(1, min(3, len(p)) + 1):
+                if k == 3 or k == len(p):
+                    tails.setdefault(p[-3:], set()).add(len(p))
+        self.tails = {t: tuple(sorted(x, reverse=True)) for t, x in tails.items()}
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if model.by_word else re.compile(r"(?s).+")
         self.widest = 0  # backpointers kept at once, at most
 
@@ -115,13 +125,60 @@ class Search:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
+    def spines(self, piece: str) -> tuple[list, list] | None:
+        """How the merges build a piece: the symbols at its left and at its right end, each as (symbol, rank that made it, rank that
+        took it), from the piece itself down to a character. None if they don't build it, or not in the order of rank."""
+        if piece in self.ends:
+            return self.ends[piece]
+        ids, pieces = self.m.ids, self.m.pieces
+        nodes: list[tuple] = [(c, -1e30, None, None) for c in piece]
+        ordered = True
+        while len(nodes) > 1:
+            best, at = 1e30, -1
+            for i in range(len(nodes) - 1):
+                k = ids.get(nodes[i][0] + nodes[i + 1][0])
+                if k is not None and -pieces[k][1] < best:
+                    best, at = -pieces[k][1], i
+            if at < 0:
+                break
+            x, y = nodes[at : at + 2]
+            ordered = ordered and x[1] < best and y[1] < best
+            nodes[at : at + 2] = [(x[0] + y[0], best, x, y)]
+        out = None
+        if len(nodes) == 1 and ordered:
+            out = ([], [])
+            for side in (0, 1):
+                node, taken = nodes[0], 1e30
+                while node is not None:
+                    out[side].append((node[0], node[1], taken))
+                    node, taken = node[2 + side], node[1]
+        if len(self.ends) > MEMORY:
+            self.ends.clear()
+        self.ends[piece] = out
+        return out
+
     def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if (x := self.fits.get(key)) is None:
-            if len(self.fits) > MEMORY:
-                self.fits.clear()
-            x = self.fits[key] = self.merged(a + b) == [a, b] if a else self.merged(b) == [b]
-        return x
+        """Whether the merges leave a and b apart when they stand side by side; each is one piece or one character."""
+        left, right = self.spines(a) if a else None, self.spines(b)
+        if right is None or (a and left is None):
+            return self.merged(a + b) == [a, b] if a else self.merged(b) == [b]
+        if not a:
+            return True
+        ids, pieces = self.m.ids, self.m.pieces
+        x, y, i, j = left[1], right[0], 0, 0
+        while True:
+            # x[i] and y[j] stand side by side until one of them is taken; of equal ranks the left one goes first.
+            k = ids.get(x[i][0] + y[j][0])
+            if k is not None and -pieces[k][1] < x[i][2] and -pieces[k][1] <= y[j][2]:
+                return False
+            if x[i][1] > y[j][1]:
+                i += 1
+            elif j + 1 < len(y):
+                j += 1
+            elif i + 1 < len(x):
+                i += 1
+            else:
+                return True
 
     def segments(self, text: str) -> Iterator[str]:
         """The pieces of a stretch, in order, each as soon as it is certain."""
@@ -175,7 +232,41 @@ class Search:
             end = start
         return out[::-1]
 
+    def _short(self, text: str) -> list[int] | None:
+        """The same search for a stretch that fits into the window, of a BPE model; None if it holds an unknown character."""
+        get, tails, fits, pieces = self.m.ids.get, self.tails, self.fit_ids, self.m.pieces
+        n, size = len(text), len(pieces)
+        back, last = [0] * (n + 1), [size] * (n + 1)  # start and id of the last piece up to each position
+        for end in range(1, n + 1):
+            three = text[end - 3 : end] if end > 2 else ""
+            for lengths in (tails.get(three, ()), (2, 1)):
+                for k in lengths:
+                    start = end - k
+                    if start < 0 or (x := get(text[start:end])) is None:
+                        continue
+                    key = last[start] * size + x
+                    if (ok := fits.get(key)) is None:
+                        if len(fits) > 2 * MEMORY:
+                            fits.clear()
+                        ok = fits[key] = self.compatible(text[back[start] : start], text[start:end])
+                    if ok:
+                        back[end], last[end] = start, x
+                        break
+                else:
+                    continue
+                break
+            else:
+                return None
+        self.widest = max(self.widest, n + 1)
+        out = []
+        while n:
+            out.append(last[n])
+            n = back[n]
+        return out[::-1]
+
     def ids_of(self, stretch: str) -> bytes:
+        if self.m.bpe and len(stretch) <= 4 * self.m.longest and (short := self._short(stretch)) is not None:
+            return np.array(short, np.int32).tobytes()
         out: list[int] = []
         for p in self.segments(stretch):
             k = self.m.ids.get(p)
@@ -187,6 +278,22 @@ class Search:
                 out.append(self.m.unk)
         return np.array(out, np.int32).tobytes()
 
+    def _parted(self, stretch: str) -> bytes:
+        """A stretch cut where no piece holds both neighbours."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in joined]
+        if not cuts or not self.m.byte_fallback:
+            return self.ids_of(stretch)
+        out = []
+        for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True):
+            s = stretch[i:j]
+            if (x := self.memory.get(s)) is None:
+                x = self.ids_of(s)
+                if len(s) <= MEMORY_CHARS and len(self.memory) < MEMORY:
+                    self.memory[s] = x
+            out.append(x)
+        return b"".join(out)
+
     def encode(self, text: str) -> np.ndarray:
         if self.m.trim:
             text = re.sub(" +", " ", text.strip(" "))
@@ -198,10 +305,12 @@ class Search:
         memory, out = self.memory, []
         for s in self.stretch.findall(text):
             if (x := memory.get(s)) is None:
-                x = self.ids_of(s)
+                if (x := self.older.get(s)) is None:
+                    x = self._parted(s)
                 if len(s) <= MEMORY_CHARS:
                     if len(memory) >= MEMORY:
-                        memory.clear()
+                        self.older, memory = memory, {}
+                        self.memory = memory
                     memory[s] = x
             out.append(x)
         return np.frombuffer(b"".join(out), np.int32)
