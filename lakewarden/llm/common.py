@@ -107,6 +107,13 @@ def ship(spark: SparkSession) -> None:
     ship.sent = sc.applicationId
 
 
+#: Rows in an Arrow batch where the session has no value of its own: texts are long, and a batch exists in the JVM and in Python.
+ARROW_ROWS = 500
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(run, schema)

@@ -25,43 +25,44 @@ from .common import SALTS, map_arrow, persist_table, table
 LENGTH, GRAM = 200, 48
 #: Occurrences of an anchor that one task takes.
 GROUP = 16_384
-CHUNK = 1_000_000
+#: Bytes of text, and members of whole anchors, that are worked on at once; small enough for a core's cache.
+CHUNK, BATCH, WINDOWS = 250_000, 1024, 160_000
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
-    """op over each w consecutive values: len(x) - w + 1 results, in two passes whatever w is."""
-    n = len(x)
-    blocks = -(-n // w)
-    pad = np.zeros(blocks * w, x.dtype)
-    pad[:n] = x
-    if op is np.minimum:
-        pad[n:] = np.iinfo(x.dtype).max
-    m = pad.reshape(blocks, w)
-    head = op.accumulate(m, axis=1).ravel()
-    tail = op.accumulate(m[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(tail[: n - w + 1], head[w - 1 : n])
+    """op over each w consecutive values: len(x) - w + 1 results, by doubling."""
+    have = 1
+    while have * 2 <= w:
+        x = op(x[:-have], x[have:])
+        have *= 2
+    return op(x[: len(x) - (w - have)], x[w - have :]) if w > have else x
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, gram hashes, rows) of the anchors of all windows of length bytes inside the rows. Of equal least hashes in one
+    """(positions, gram hashes, rows) of the anchors of all windows of length bytes inside the rows. Of equal least ranks in one
     window all are anchors."""
     n, w = len(buf), length - gram + 1
     none = np.zeros(0, np.int64)
     size = np.diff(off)
     if n < length or not (size >= length).any():
         return none, none.view(U), none
-    start = np.arange(n - gram + 1)
-    h = mix(Hashed(buf).of(start, start + gram)) >> U(1)
-    starts, ends = np.repeat(off[:-1], size), np.repeat(off[1:], size)
-    top = np.iinfo(np.uint64).max
-    h[start + gram > ends[: len(start)]] = top
-    low = _sliding(h, w, np.minimum)  # by window
-    low[np.arange(len(low)) + length > ends[: len(low)]] = 0  # windows that leave their row
-    least = np.zeros(len(h) + w - 1, U)
+    hashed = Hashed(buf)
+    raw = hashed.sums[gram:] - hashed.sums[:-gram]
+    raw *= hashed.down[: len(raw)]
+    top = np.uint32(2**32 - 1)
+    rank = ((raw * U(0xD6E8FEB86659FD93)) >> U(32)).astype(np.uint32)
+    np.clip(rank, 1, top - np.uint32(1), out=rank)  # 0: no window
+    for e in off[1:].tolist():  # grams that leave their row
+        rank[max(0, e - gram + 1) : e] = top
+    low = _sliding(rank, w, np.minimum)  # by window
+    for e, m in zip(off[1:].tolist(), size.tolist(), strict=True):  # windows that leave their row
+        low[max(e - m, e - length + 1, 0) : e] = 0
+    least = np.zeros(len(rank) + w - 1, np.uint32)
     least[w - 1 : w - 1 + len(low)] = low
     best = _sliding(least, w, np.maximum)  # over the windows that hold the position
-    at = np.flatnonzero((best == h) & (h != top))
-    return at - starts[at], h[at], np.searchsorted(off, at, "right") - 1
+    at = np.flatnonzero((best == rank) & (rank != top))
+    row = np.searchsorted(off, at, "right") - 1
+    return at - off[row], mix(raw[at].copy()), row
 
 
 def repeated_windows(ctx: np.ndarray, left: np.ndarray, size: np.ndarray, group: np.ndarray, length: int, digit: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -69,23 +70,34 @@ def repeated_windows(ctx: np.ndarray, left: np.ndarray, size: np.ndarray, group:
     the anchor; group: the members' anchor. Windows are compared at the same distance from the anchor only."""
     off = np.concatenate([[0], np.cumsum(size)])
     count = np.maximum(size - length + 1, 0)
-    member = np.repeat(np.arange(len(size)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     hashed = Hashed(ctx)
-    sort = mix(group[member].astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + (left[member] - start + length).astype(U))
-    for at in range(0, length, digit):
+    members, starts = [], []
+    # A share of the distances at a time, so that the windows at hand are bounded.
+    step = max(1, int(WINDOWS * (length + 1) // max(1, count.sum())))
+    for near in range(0, length + 1, step):
+        first, end = np.maximum(left - near - step + 1, 0), np.minimum(left - near + 1, count)
+        n = np.maximum(end - first, 0)
+        member = np.repeat(np.arange(len(size)), n)
         if not len(member):
-            break
-        a = off[member] + start + at
-        sort = mix(sort * U(0xD6E8FEB86659FD93) ^ hashed.of(a, a + min(digit, length - at)))
-        order = np.argsort(sort)
-        s = sort[order]
-        same = s[1:] == s[:-1]
-        twice = np.zeros(len(s), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        keep = np.sort(order[twice])
-        member, start, sort = member[keep], start[keep], sort[keep]
+            continue
+        start = np.arange(len(member)) - np.repeat(np.cumsum(n) - n - first, n)
+        sort = mix(group[member].astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + (left[member] - start + length).astype(U))
+        for at in range(0, length, digit):
+            a = off[member] + start + at
+            sort = mix(sort * U(0xD6E8FEB86659FD93) ^ hashed.of(a, a + min(digit, length - at)))
+            order = np.argsort(sort)
+            s = sort[order]
+            same = s[1:] == s[:-1]
+            twice = np.zeros(len(s), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            keep = np.sort(order[twice])
+            member, start, sort = member[keep], start[keep], sort[keep]
+            if not len(member):
+                break
+        members.append(member)
+        starts.append(start)
+    member, start = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (members, starts))
     return member, start
 
 
@@ -102,6 +114,29 @@ def _runs(member: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarra
     return m[first], s[first], s[last] + length
 
 
+def _group_runs(ctx, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, from, to) of the runs that repeated windows cover in each member's bytes. Members of equal bytes repeat each other
+    as a whole; one of them stands for them against the others of its anchor."""
+    buf, off = string_bytes(ctx)
+    size = np.diff(off)
+    whole = mix(Hashed(buf).of(off[:-1], off[1:]) + (group.view(U) + left.astype(U)) * U(0x9E3779B97F4A7C15) + size.astype(U))
+    _, first, back, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero((count[back] > 1) & (size >= length))
+    # Anchors that show with one surrounding only are done.
+    _, g = np.unique(group[first], return_inverse=True)
+    several = np.sort(first[np.bincount(g)[g] > 1])
+    pick = np.zeros(len(buf), bool)
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[off[several]] += 1
+    edge[off[several + 1]] -= 1
+    pick = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    m, s = repeated_windows(buf[pick], left[several], size[several], group[several], length)
+    m = several[m]
+    single = count[back[m]] == 1
+    m, a, e = _runs(m[single], s[single], length)
+    return np.concatenate([m, again]), np.concatenate([a, np.zeros(len(again), np.int64)]), np.concatenate([e, size[again]])
+
+
 def _batch(cols, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
@@ -172,10 +207,10 @@ def _spans(d: DataFrame, length: int, group: int) -> DataFrame:
             g = b.column(0).to_numpy()
             # Whole anchors only: what belongs to the last one waits for the next batch.
             cut_at = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
-            if held and g[0] != last and rows >= 4096:
+            if held and g[0] != last and rows >= BATCH:
                 yield from settle(held)
                 held, rows = [], 0
-            if cut_at and rows + cut_at >= 4096:
+            if cut_at and rows + cut_at >= BATCH:
                 yield from settle([*held, b.slice(0, cut_at)])
                 held, rows, b = [], 0, b.slice(cut_at)
             held.append(b)
@@ -189,17 +224,14 @@ def _spans(d: DataFrame, length: int, group: int) -> DataFrame:
         g = t.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
         i = 0
-        while i < len(cuts) - 1:  # some thousand members at a time
+        while i < len(cuts) - 1:  # a thousand members at a time
             j = i + 1
-            while j < len(cuts) - 1 and cuts[j + 1] - cuts[i] <= 4096:
+            while j < len(cuts) - 1 and cuts[j + 1] - cuts[i] <= BATCH:
                 j += 1
             p = t.slice(cuts[i], cuts[j] - cuts[i])
-            buf, off = string_bytes(p.column(6))
-            left = p.column(5).to_numpy().astype(np.int64)
-            m, s = repeated_windows(buf, left, np.diff(off), p.column(0).to_numpy(), length)
-            m, a, e = _runs(m, s, length)
+            m, a, e = _group_runs(p.column(6), p.column(5).to_numpy().astype(np.int64), p.column(0).to_numpy(), length)
             if len(m):
-                base = p.column(4).to_numpy()[m] - left[m]
+                base = p.column(4).to_numpy()[m] - p.column(5).to_numpy()[m]
                 yield _batch([p.column(2).to_numpy()[m], p.column(3).to_numpy()[m], (base + a).astype(np.int32), (base + e).astype(np.int32)], ["rid", "rid2", "a", "b"])
             i = j
 
