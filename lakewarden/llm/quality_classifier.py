@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, let, table, words_of
-from .quality_rules import SPACE
 
 #: The samples that the model is fitted on hold at most so many rows, chosen by a hash of the id.
 MAX_POSITIVES, MAX_UNLABELLED = 10_000, 20_000
@@ -26,26 +25,23 @@ FEATURES = ("symbols", "upper", "digits", "marks", "other", "mean_word", "long_w
 
 def features(text: Column) -> Column:
     """array<double> of FEATURES of the whole text; a null text counts as empty. Rates are square roots, for small ones count."""
-    removed = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    among = lambda t, chars: F.length(F.regexp_replace(t, f"[^{chars}]+", ""))
     root = lambda a, b: F.sqrt(a / F.greatest(b, F.lit(1)))
 
-    def of(t: Column) -> Column:
-        chars = F.length(F.translate(t, SPACE, ""))
-        lines = F.split(t, "\n")
-
-        def by_words(w: Column) -> Column:
-            n = F.size(w)
-            same = F.size(F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.coalesce(F.get(w, i) == F.get(w, i + 1), F.lit(False))))
-            return F.array(
-                chars / F.greatest(n, F.lit(1)) / 10.0, root(F.size(F.filter(w, lambda x: F.length(x) > 20)), n), F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1)), root(same, n),
-                root(F.size(lines), n), root(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)), F.log1p(n.cast("double")) / 5.0,
-            )
-
-        rates = F.array(
-            root(removed(t, "#*$%&|<>@^~=_{}[]\\"), chars), root(removed(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), root(removed(t, "0123456789"), chars),
-            root(removed(t, "!?;:"), chars), root(removed(t, "\"'()-/+"), chars),
+    def by_words(w: Column, t: Column, chars: Column, lines: Column) -> Column:
+        n = F.size(w)
+        # Neighbours that are equal: the words against the words from the second on.
+        pairs = F.zip_with(F.slice(w, 2, n), w, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        same = F.size(F.filter(pairs, lambda x: x))
+        return F.array(
+            root(among(t, r"#*$%&|<>@\^~=_{}\[\]\\"), chars), root(among(t, "A-Z"), chars), root(among(t, "0-9"), chars), root(among(t, "!?;:"), chars), root(among(t, r"\"'()\-/+"), chars),
+            chars / F.greatest(n, F.lit(1)) / 10.0, root(F.size(F.filter(w, lambda x: F.length(x) > 20)), n), F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1)), root(same, n),
+            root(F.size(lines), n), root(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)), F.log1p(n.cast("double")) / 5.0,
         )
-        return F.concat(rates, let(words_of(t), by_words))
+
+    def of(t: Column) -> Column:
+        chars = F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", ""))
+        return let(words_of(t), lambda w: let(chars, lambda c: let(F.split(t, "\n"), lambda x: by_words(w, t, c, x))))
 
     return let(F.coalesce(text.cast("string"), F.lit("")), of)
 
@@ -141,7 +137,8 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
     """docs with a struct column quality_score (underscored where taken): score, predicted. Null and empty texts are scored
     alike; repeated rows alike; an empty table gives no rows."""
     (name,) = fresh(docs, "quality_score")
-    s = let(model.score(features(F.col(text_col))), lambda z: F.struct(z.alias("score"), (z >= threshold).cast("int").alias("predicted")))
+    score = let(features(F.col(text_col)), model.score)
+    s = let(score, lambda z: F.struct(z.alias("score"), (z >= threshold).cast("int").alias("predicted")))
     return docs.withColumn(name, s)
 
 
