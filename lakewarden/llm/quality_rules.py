@@ -21,7 +21,7 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 METRICS = {"symbol_rate": 15, "upper_rate": 40, "dup_line_rate": 120, "mean_word": 80}
 SPREADS = 3.0
 MIN_WORDS = 20
-SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
@@ -52,9 +52,10 @@ def _counts(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("all")))
     return {
-        "n_words": n_words_of(text), "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "lines": both, "n_upper": (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
+        # What is counted stays and runs of everything else go, which takes far fewer steps than character by character.
+        "n_words": n_words_of(text), "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
+        "lines": both, "n_upper": F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long"),
     }
 
 
