@@ -28,6 +28,10 @@ CHUNK = 1_000_000
 #: Sets in one group, and tokens in one group, at most (one set may be larger).
 GROUP, GROUP_TOKENS = 1024, 2_000_000
 SEEDS = 4
+#: A segment that so many texts have is a common one.
+COMMON = 8
+#: Segments of three numbers each, about 60 bytes in memory, that are broadcast at most.
+SEGMENT_ROWS = 4_000_000
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,24 +75,25 @@ def spaces(num: int, den: int, upto: int) -> list[tuple[int, int, int]]:
         high = max(low, low * den // num)
         differ = (den - num) * (high + high * den // num) // (num + den)
         m = differ + 1
-        if differ:  # so many more segments that the expected empty ones, and three deviations, can be spared
+        if differ:  # so many more segments that the expected empty ones, three deviations and a few for common segments can be spared
             spare = (differ + 1 + -(-(differ + 1) * i // 50) for i in range(1, 51))
             empty = lambda x: x * np.exp(-low / x)
-            m = next((x for x in spare if empty(x) + 3 * np.sqrt(empty(x)) <= x - differ - 1), 2 * differ + 2)
+            m = next((x for x in spare if empty(x) + 3 * np.sqrt(empty(x)) + (differ + 1) / 32 <= x - differ - 1), 2 * differ + 2)
         out.append((low, m, differ + 1))
         low = high + 1
     return out
 
 
-def segment_keys(tokens: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, offsets): for each set one key for each filled segment, in its own size class's space and the one below."""
+def segment_keys(tokens: np.ndarray, off: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For its own size class's space and the one below, (keys, offsets, spare): for each set one key for each filled segment, and
+    on how many filled segments at least it agrees with any set that it links with there."""
     size = np.diff(off)
     table_ = spaces(num, den, 1 << int(max(1, size.max(initial=1))).bit_length())
     lows, segs, need = (np.array(x, np.int64) for x in zip(*table_, strict=True))
     cls = np.searchsorted(lows, size, "right") - 1
     row = np.repeat(np.arange(len(size)), size)
     content = mix(tokens ^ U(0xA24BAED4963EE407))
-    keys, owner = [], []
+    out = []
     for down in (0, 1):
         k = cls - down
         ok = (size > 0) & (k >= 0)
@@ -104,16 +109,15 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
         inner = np.arange(base[-1]) - base[seg_row]
         tag = mix((k[seg_row].astype(U) << U(32)) + inner.astype(U) + U(1))
         key = mix(total + tag)
-        keys.append(key[filled])
-        owner.append(seg_row[filled])
-        # Sets with too few filled segments are sure to agree only on empty ones: one more key for all of them.
+        # Sets with too few filled segments may agree on empty ones only: one more key for all of them.
         n_filled = np.bincount(seg_row[filled], minlength=len(size))
-        poor = np.flatnonzero(ok & (n_filled < need[np.maximum(k, 0)]))
-        keys.append(mix(k[poor].astype(U) + U(0x5851F42D4C957F2D)))
-        owner.append(poor)
-    keys, owner = np.concatenate(keys), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return keys[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+        spare = np.where(ok, n_filled - need[np.maximum(k, 0)] + 1, 0)
+        poor = np.flatnonzero(ok & (spare < 1))
+        keys = np.concatenate([key[filled], mix(k[poor].astype(U) + U(0x5851F42D4C957F2D))])
+        owner = np.concatenate([seg_row[filled], poor])
+        order = np.argsort(owner, kind="stable")
+        out.append((keys[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]), spare))
+    return out
 
 
 def set_ids(tokens: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +237,12 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
             for i, j in chunks(off, CHUNK):
                 t, o = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, seed)
                 s1, s2 = set_ids(t, o, seed)
-                keys, ko = segment_keys(t, o, num, den)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(o)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(ko.astype(np.int32)), pa.array(keys.view(np.int64)))],
-                    names=["id", "h", "n", "s1", "s2", "keys"],
-                )
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(o)), pa.array(s1), pa.array(s2)]
+                for keys, ko, spare in segment_keys(t, o, num, den):
+                    cols += [pa.ListArray.from_arrays(pa.array(ko.astype(np.int32)), pa.array(keys.view(np.int64))), pa.array(spare)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "n", "s1", "s2", "keys0", "spare0", "keys1", "spare1"])
 
-    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, s1 long, s2 long, keys array<long>")
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, s1 long, s2 long, keys0 array<long>, spare0 long, keys1 array<long>, spare1 long")
 
 
 def _open_groups(rows: DataFrame, k: int, num: int, den: int, seed: int, pairs: bool) -> DataFrame:
@@ -312,9 +315,18 @@ def jaccard_classes(
         raise RuntimeError("digests of different sets stay equal")
 
     # Families: sets that agree on a segment.
-    keys = sets.where("n > 0").select("s1", F.explode("keys").alias("k"))
-    shared = persist_table(keys.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("k", F.col("lo").alias("a")), "segments")
-    star = join_small(keys, shared, ["k"], "inner", F.col("s1"), rows=broadcast_rows).where("s1 <> a").select("a", F.col("s1").alias("b")).distinct()
+    part = lambda d: sets.where("n > 0").select("s1", F.lit(d).alias("down"), F.col(f"spare{d}").alias("spare"), F.explode(f"keys{d}").alias("k"))
+    keys = part(0).unionByName(part(1))
+    shared = keys.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    shared = persist_table(shared.select("k", F.col("lo").alias("a"), (F.col("c") >= COMMON).alias("common")), "segments")
+    # Beyond the bound both sides are dealt by segment; adaptive execution splits the segments of many copies.
+    side = F.broadcast(shared) if small(shared, min(SEGMENT_ROWS, 4 * broadcast_rows)) else shared
+    star = keys.join(side, "k").where("s1 <> a").select("s1", "down", "spare", "k", "a", "common").distinct()
+    star = persist_table(star, "segments")
+    # Passages that many texts share fill whole segments. A set that agrees on more segments with whatever it links with than it
+    # has common ones agrees on one that is not common, so its common ones need not be followed.
+    common = star.where("common").groupBy("s1", "down", "spare").agg(F.count(F.lit(1)).alias("h")).where("h < spare").select(F.col("s1").alias("x"), F.col("down").alias("y"))
+    star = star.join(common, (F.col("s1") == F.col("x")) & (F.col("down") == F.col("y")), "left").where("not common or x is null").select("a", F.col("s1").alias("b")).distinct()
     fam = connected_components(star, broadcast_rows).select(F.col("v").alias("s1"), F.col("label").alias("fam"))
 
     # Groups: families in pieces of similar size.
@@ -325,9 +337,9 @@ def jaccard_classes(
     low = [x for x, _, _ in spaces(num, den, 1 << 40)]
     cls = F.when(large, F.array_size(F.filter(F.array(*[F.lit(x).cast("long") for x in low]), lambda x: x <= F.col("n")))).otherwise(0)
     fam = fam.withColumn("cls", cls.cast("int"))
-    part = fam.groupBy("fam", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long").alias("parts"), F.min("s1").alias("lead"))
-    part = persist_table(part, "groups")
-    fam = join_small(fam, part, ["fam", "cls"], "inner", F.col("s1"), rows=broadcast_rows)
+    pieces = fam.groupBy("fam", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long").alias("parts"), F.min("s1").alias("lead"))
+    pieces = persist_table(pieces, "groups")
+    fam = join_small(fam, pieces, ["fam", "cls"], "inner", F.col("s1"), rows=broadcast_rows)
     fam = persist_table(fam.select("s1", "id", "fam", "m", large.alias("large"), "cls", "lead", "parts", F.pmod(F.xxhash64("s1"), F.col("parts")).alias("piece")), "groups")
 
     # Round one: each group by itself, with the leader of its class and of the next one, so that a family of near copies in many
@@ -335,7 +347,7 @@ def jaccard_classes(
     gid = lambda c, p: (c.cast("long") * F.lit(1 << 32) + p).alias("g1")
     own = fam.select("id", "s1", "fam", gid(F.col("cls"), F.col("piece")))
     # Leaders go to all groups of their class and of the one below.
-    lead = part.where("cls > 0").select("fam", "lead", F.explode(F.array("cls", F.col("cls") - 1)).alias("cls")).join(part.select("fam", "cls", "parts"), ["fam", "cls"])
+    lead = pieces.where("cls > 0").select("fam", "lead", F.explode(F.array("cls", F.col("cls") - 1)).alias("cls")).join(pieces.select("fam", "cls", "parts"), ["fam", "cls"])
     lead = lead.where("cls > 0").select(F.col("lead").alias("s1"), "fam", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
     lead = lead.join(classes.select("s1", "id"), "s1").select("id", "s1", "fam", gid(F.col("cls"), F.col("p")))
     one = own.unionByName(lead).distinct().withColumn("g2", F.col("g1")).withColumn("side", F.lit(0))
@@ -367,7 +379,7 @@ def jaccard_classes(
     least = known.where("label is not null").groupBy("root").agg(F.min("id").alias("least"))
     tell = known.where("label is not null or c > 1").select("s1", "root", F.col("id").alias("own")).join(least, "root", "left").select("s1", F.coalesce("least", "own").alias("component_id"))
     tell = persist_table(tell, "classes")
-    out = join_small(sets.drop("keys"), tell, ["s1"], "left", F.hash("id", "h"), rows=broadcast_rows)
+    out = join_small(sets.select("id", "h", "n", "s1"), tell, ["s1"], "left", F.hash("id", "h"), rows=broadcast_rows)
     return out.select(F.col("id").alias(id_col), "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
