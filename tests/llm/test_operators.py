@@ -157,10 +157,12 @@ def test_urls(spark):
 
 
 def test_components(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9)], "a long, b long")
-    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
-    for rows in (0, 100):
-        assert {r["v"]: r["label"] for r in connected_components(e, rows).collect()} == want
+    e = [(1, 2), (2, 3), (5, 4), (9, 9), *[(i, i + 1) for i in range(100, 140)], *[(i, 300) for i in range(200, 240)]]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {i: 100 for i in range(100, 141)} | {i: 200 for i in [*range(200, 240), 300]}
+    d = spark.createDataFrame(e, "a long, b long").repartition(4)
+    for rows, chunk in ((0, 1000), (100, 8)):
+        assert {r["v"]: r["label"] for r in connected_components(d, rows, chunk).collect()} == want
+    assert connected_components(d.where("a = b")).count() == 0
 
 
 def test_pipeline(spark):
