@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("ngram_jaccard", near), ("mixing", mix), ("sentencepiece", tokens)]
 
-#: The last stages have no SQL form, nor is there a brute-force version of run() yet.
+#: The last stages have no SQL form; tests/llm/test_brute_force.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
