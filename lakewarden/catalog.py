@@ -242,20 +242,20 @@ _PAIRS: dict[str, tuple[Callable, str | None]] = {
     "gate_offset": (_sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 20"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 20"),
     "gate_union_limit": (lambda s, d: build_plan(session(s, d), "SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders LIMIT 20").frame.agg(F.count(F.lit(1)).alias("n")), "SELECT 20::BIGINT AS n"),
     "gate_subquery_unlimited": (_sql("SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"), "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"),
-    "rlac_eq": (_sql("SELECT c_custkey, c_name FROM customer", "ann"), "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 2"),
+    "rlac_eq": (_sql("SELECT c_custkey, c_name FROM customer", "ann", whole=True), "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 2"),
     "rlac_in": (_sql("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment", "bob"), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment"),
     "rlac_range": (_sql("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey", "cy"), "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal >= 1000 AND c_nationkey <> 3 GROUP BY c_nationkey"),
     "rlac_null": (_sql("SELECT count(*) AS n FROM customer", "dee"), "SELECT count(*) AS n FROM customer WHERE c_nationkey = NULL"),
-    "rlac_or_bypass": (_sql("SELECT c_custkey FROM customer WHERE c_nationkey = 2 OR 1 = 1 -- all", "ann"), "SELECT c_custkey FROM customer WHERE c_nationkey = 2"),
-    "rlac_union_arms": (_sql("SELECT c_custkey AS k FROM customer UNION SELECT c_custkey FROM customer WHERE true", "ann"), "SELECT c_custkey AS k FROM customer WHERE c_nationkey = 2"),
-    "rlac_self_join": (_sql("SELECT a.c_custkey AS x, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_custkey", "ann"), "SELECT a.c_custkey AS x, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_nationkey = 2 AND b.c_nationkey = 2 GROUP BY a.c_custkey"),
+    "rlac_or_bypass": (_sql("SELECT c_custkey FROM customer WHERE c_nationkey = 2 OR 1 = 1 -- all", "ann", whole=True), "SELECT c_custkey FROM customer WHERE c_nationkey = 2"),
+    "rlac_union_arms": (_sql("SELECT c_custkey AS k FROM customer UNION SELECT c_custkey FROM customer WHERE true", "ann", whole=True), "SELECT c_custkey AS k FROM customer WHERE c_nationkey = 2"),
+    "rlac_self_join": (_sql("SELECT a.c_custkey AS x, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_custkey", "ann", whole=True), "SELECT a.c_custkey AS x, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_nationkey = 2 AND b.c_nationkey = 2 GROUP BY a.c_custkey"),
     "rlac_cte_exists": (_sql("WITH x AS (SELECT * FROM customer) SELECT count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM x WHERE x.c_custkey = o.o_custkey)", "ann"), "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 2)"),
     "rlac_multi_role": (_sql("SELECT count(*) AS n FROM customer", "eve"), "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 1000 AND c_nationkey <> 3"),
     "rlac_left_join_view": (_left_join(False), "SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey = 2) c ON o_custkey = c_custkey GROUP BY o_orderstatus"),
     "rlac_left_join_where": (_left_join(True), "SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN customer c ON o_custkey = c_custkey WHERE c_nationkey = 2 GROUP BY o_orderstatus"),
     "rlac_deny_all_count": (_sql("SELECT count(*) AS n FROM customer", "nobody"), "SELECT 0::BIGINT AS n"),
-    "clac_star": (_sql("SELECT * FROM customer", "ann"), "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey = 2"),
-    "clac_star_join": (_sql("SELECT c.*, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "ann"), "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 2"),
+    "clac_star": (_sql("SELECT * FROM customer", "ann", whole=True), "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey = 2"),
+    "clac_star_join": (_sql("SELECT c.*, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "ann", whole=True), "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 2"),
     "bind_params": (_sql("SELECT count(*) AS n FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?", params=("F", 1000.0)), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000"),
     "metric_scalar": (_metric("line_count"), "SELECT count(*) AS line_count FROM lineitem"),
     "metric_by_dim": (_metric("line_count", ["line.returnflag"]), "SELECT l_returnflag AS line_returnflag, count(*) AS line_count FROM lineitem GROUP BY 1"),
