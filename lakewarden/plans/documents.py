@@ -1,5 +1,6 @@
 """JSON queries on nested tables: five read operations; pipelines are compiled, stage by stage, to DataFrame operations over the
-caller's governed tables. A stage or operator that is not known is refused, never skipped."""
+caller's governed tables. A stage or operator that is not known is refused, never skipped. A $facet gathers each arm into one
+row; an arm of more than MAX_ROWS rows is refused when the plan runs (E_RESULT_TOO_LARGE), never cut."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import policy_denied, unknown, write_forbidden
 from ..functions.names import suggest
-from .gate import DEFAULT_ROWS, MAX_ROWS, GovernedSession, Plan, mint
+from .gate import DEFAULT_ROWS, FACET_TOO_LARGE, MAX_ROWS, GovernedSession, Plan, mint
 
 OPERATIONS = ("find", "findOne", "aggregate", "countDocuments", "distinct")
 STAGES_MOST = 50
@@ -108,7 +109,7 @@ def build_document_plan(session: GovernedSession, payload, default: int = DEFAUL
         limit = min(_count(payload["limit"], "limit", 1) if "limit" in payload else most, most)
         df = c.distinct(c.where(df, payload.get("filter", {})), field).limit(limit)
     names = {name.lower()} | c.used
-    policies = [*([f"limit:{limit}"] if limit else []), "read-only", *session.policies(names)]
+    policies = [*([f"limit:{limit}"] if limit else []), *([f"facet-refuse-over:{MAX_ROWS}"] if c.facets else []), "read-only", *session.policies(names)]
     frozen = _frozen(payload)
     plan = mint(sql=json.dumps(payload, sort_keys=True), params=(), applied_limit=limit, applied_policies=tuple(policies), frame=df, relations=tuple(sorted(names)))
     return DocumentPlan(frozen, limit, tuple(policies), plan)
@@ -116,7 +117,7 @@ def build_document_plan(session: GovernedSession, payload, default: int = DEFAUL
 
 class Compiler:
     def __init__(self, session: GovernedSession):
-        self.session, self.used = session, set()
+        self.session, self.used, self.facets = session, set(), False
 
     def table(self, name: str) -> DataFrame:
         if name.lower() not in self.session.names:
@@ -286,6 +287,11 @@ class Compiler:
             flat = flat.select(F.explode("value").alias("value"))
         return flat.where("value is not null").distinct().orderBy("value")
 
+    @staticmethod
+    def bounded(arm: Column) -> Column:
+        """arm, or an error that execute() turns into E_RESULT_TOO_LARGE."""
+        return F.when(F.size(arm) > MAX_ROWS, F.raise_error(F.lit(FACET_TOO_LARGE))).otherwise(arm)
+
     def pipeline(self, df: DataFrame, stages) -> DataFrame:
         for s in stages:
             k, v = next(iter(s.items()))
@@ -316,8 +322,10 @@ class Compiler:
             elif k == "$sample":
                 df = df.orderBy(F.rand(7)).limit(_count(v.get("size"), "size", 1))
             elif k == "$facet":
-                parts = [self.pipeline(df, x).limit(MAX_ROWS) for x in v.values()]
-                one = [p.agg(F.collect_list(F.struct("*")).alias(n)) for n, p in zip(v, parts, strict=True)]
+                self.facets = True
+                # One row more than is allowed tells that an arm has too many, and bounds what is gathered until then.
+                parts = [self.pipeline(df, x).limit(MAX_ROWS + 1) for x in v.values()]
+                one = [p.agg(F.collect_list(F.struct("*")).alias("__arm")).select(self.bounded(F.col("__arm")).alias(n)) for n, p in zip(v, parts, strict=True)]
                 df = one[0]
                 for p in one[1:]:
                     df = df.crossJoin(p)  # one row each

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Row
 
 from ..errors import GovernanceError
-from .gate import Plan
+from .gate import FACET_TOO_LARGE, MAX_ROWS, Plan
 
 TIMEOUT_MS, MAX_BYTES = 30_000, 10 * 1024 * 1024
 
@@ -97,8 +97,10 @@ def execute(plan: Plan, timeout_ms: int = TIMEOUT_MS, max_bytes: int = MAX_BYTES
     except GovernanceError:
         sc.cancelJobGroup(group)
         raise
-    except Exception:
+    except Exception as e:
         if not late.is_set():
+            if FACET_TOO_LARGE in str(e):
+                raise GovernanceError("E_RESULT_TOO_LARGE", f"An arm of $facet has more than {MAX_ROWS} rows.", limit=MAX_ROWS, hint="Group, match or limit inside the arm.") from None
             raise
     finally:
         over.set()

@@ -19,6 +19,8 @@ from .policy import OPEN, UNKNOWN_PRINCIPAL, Resolved
 from .syntax import Statement, parse
 
 DEFAULT_ROWS, MAX_ROWS = 1000, 10_000
+#: What a plan raises on the cluster where an arm of a $facet has more than MAX_ROWS rows.
+FACET_TOO_LARGE = "LAKEWARDEN_FACET_TOO_LARGE"
 _MINT = object()
 
 

@@ -8,7 +8,7 @@ from lakewarden.errors import GovernanceError
 from lakewarden.functions.names import distance, suggest
 from lakewarden.plans.documents import build_document_plan
 from lakewarden.plans.execution import ByteCap, execute
-from lakewarden.plans.gate import Plan, build_plan, dry_plan
+from lakewarden.plans.gate import GovernedSession, Plan, build_plan, dry_plan
 from lakewarden.plans.policy import PolicyEngine
 from lakewarden.plans.syntax import parse
 
@@ -142,3 +142,14 @@ def test_policy_queries_are_whole(spark, tmp_path, name):
     assert df.columns == want.columns
     got = sorted(map(tuple, df.collect()))
     assert len(got) == 1500 and got == sorted(want.fetchall())
+
+
+def test_facet_arms_are_never_cut(spark):
+    s = GovernedSession(spark, {"t": spark.range(10_001).withColumnRenamed("id", "x"), "u": spark.range(10_000).withColumnRenamed("id", "x")})
+    ask = lambda t, *after: build_document_plan(s, {"operation": "aggregate", "collection": t, "pipeline": [{"$facet": {"a": [{"$match": {"x": {"$gte": 0}}}], "n": [{"$count": "n"}]}}, *after]})
+    size, unwound = [{"$project": {"k": {"$size": "$a"}}}], [{"$unwind": "$a"}, {"$group": {"_id": None, "k": {"$sum": 1}}}]
+    for after in (size, unwound):
+        assert code(lambda after=after: execute(ask("t", *after).plan)) == "E_RESULT_TOO_LARGE"
+        assert [r["k"] for r in execute(ask("u", *after).plan)] == [10_000]
+    assert "facet-refuse-over:10000" in ask("u", *size).applied_policies
+    assert execute(ask("t", {"$project": {"n": 1}}).plan) == [{"n": [{"n": 10_001}]}]
