@@ -1,9 +1,9 @@
 """Quality classifier by positive-unlabelled learning.
 
 The non-negative unbiased risk (Kiryo, Niu, du Plessis and Sugiyama, NeurIPS 2017) is minimised over trusted positives and
-unlabelled web text: pi * R_p+ + max(0, R_u- - pi * R_p-). The class prior pi is estimated from the same two samples (best bin
-estimation, Garg et al., NeurIPS 2021). Features and scores are Spark expressions; only the bounded samples are fitted on the
-driver. No negative label is read.
+unlabelled web text: pi * R_p+ + max(0, R_u- - pi * R_p-). The class prior pi is estimated by best bin estimation (Garg et al.,
+NeurIPS 2021) from a sample of the positives and a histogram of the scores of all training documents. Features and scores are
+Spark expressions; only the bounded samples are fitted on the driver. No negative label is read.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, let, table, words_of
 
-#: The samples that the model is fitted on hold at most so many rows, chosen by a hash of the id.
+#: What fit() has for its bounds unless it is given others.
 MAX_POSITIVES, MAX_UNLABELLED = 10_000, 20_000
 FOLDS = 5
 THRESHOLD = 0.3
@@ -54,11 +54,14 @@ class Model:
     bias: float
     prior: float
 
-    def score(self, x: Column) -> Column:
+    def logit(self, x: Column) -> Column:
         z = F.lit(self.bias)
         for i, (m, s, w) in enumerate(zip(self.mean, self.scale, self.weights, strict=True)):
             z = z + (F.get(x, F.lit(i)) - m) * (w / s)
-        return 1.0 / (1.0 + F.exp(-z))
+        return z
+
+    def score(self, x: Column) -> Column:
+        return 1.0 / (1.0 + F.exp(-self.logit(x)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -75,23 +78,30 @@ def _descend(grad, dim: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives in u: the least ratio, over thresholds, of u's to p's upper share, with confidence widths. p, u:
-    scores of a classifier of positive against unlabelled that was fitted on other rows."""
-    if not len(p) or not len(u):
+def estimate_prior(p: np.ndarray, histogram, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled: the least ratio, over thresholds, of their upper share to p's, with confidence
+    widths. p: scores, by a classifier of positive against unlabelled, of positives that it was not fitted on. histogram(cuts):
+    the unlabelled's rows by the number of cuts that their score reaches, from none to all."""
+    if not len(p):
+        return 0.5
+    # A little below the quantiles, so that rounding decides no tie.
+    cut = np.unique(np.quantile(p, np.linspace(0, 0.99, 200))) - 1e-9
+    n = np.asarray(histogram(cut), dtype=float)
+    if not (total := n.sum()):
         return 0.5
-    cut = np.unique(np.quantile(p, np.linspace(0, 0.99, 200)))
     qp = np.array([(p >= c).mean() for c in cut])
-    qu = np.array([(u >= c).mean() for c in cut])
-    width = np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
+    qu = n[::-1].cumsum()[::-1][1:] / total
+    width = np.sqrt(np.log(4 / delta) / (2 * total)) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
     best = int(np.argmin(qu / qp + width * (1 + qu / qp) / qp))
     return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
 
 
-def fit_pu(p: np.ndarray, u: np.ndarray, l2: float = 1e-3, steps: int = 600, rate: float = 0.03) -> Model:
-    """p, u: feature rows of trusted positives and of unlabelled texts."""
+def fit_pu(p: np.ndarray, u: np.ndarray, histogram, l2: float = 1e-3, steps: int = 600, rate: float = 0.03) -> Model:
+    """p, u: feature rows of trusted positives and of unlabelled texts. histogram(model, cuts): of the logits of all unlabelled
+    texts, as estimate_prior has it."""
     both = np.vstack([p, u])
     mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
+    model = lambda w, prior: Model(tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w[:-1])), float(w[-1]), prior)
     add = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     p, u = add(p), add(u)
     dim = p.shape[1]
@@ -101,7 +111,8 @@ def fit_pu(p: np.ndarray, u: np.ndarray, l2: float = 1e-3, steps: int = 600, rat
         return -(a * (1 - _sigmoid(a @ w))[:, None]).mean(0) + (b * _sigmoid(b @ w)[:, None]).mean(0) + ridge(w)
 
     w = _descend(pu, dim, 200, rate)
-    prior = estimate_prior(p[1::2] @ w, u[1::2] @ w)
+    first = model(w, 0.5)
+    prior = estimate_prior(p[1::2] @ w, lambda cuts: histogram(first, cuts))
 
     def nn(w):
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
@@ -110,8 +121,7 @@ def fit_pu(p: np.ndarray, u: np.ndarray, l2: float = 1e-3, steps: int = 600, rat
         risk = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
         return (pos + neg if risk >= 0 else -neg) + ridge(w)
 
-    w = _descend(nn, dim, steps, rate)
-    return Model(tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w[:-1])), float(w[-1]), prior)
+    return model(_descend(nn, dim, steps, rate), prior)
 
 
 def fold(id_col: Column) -> Column:
@@ -119,18 +129,36 @@ def fold(id_col: Column) -> Column:
 
 
 def _rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i", "left_semi").select(features(F.col("t")).alias("x"))
-    return np.array([r["x"] for r in found.collect()], dtype=float).reshape(-1, len(FEATURES))
-
-
-def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """positives: ids of trusted documents, column id_col. Both samples are bounded; without either the model knows nothing."""
+    """Features of one row for each of ids: of a repeated id the least features. In the order of the ids' hashes, for fit_pu
+    halves the rows by place."""
+    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i", "left_semi").select("i", features(F.col("t")).alias("x"))
+    one = found.groupBy("i").agg(F.min("x").alias("x")).select(F.xxhash64("i").alias("h"), F.col("i").cast("string").alias("i"), "x")
+    return np.array([r["x"] for r in sorted(one.collect(), key=lambda r: (r["h"], r["i"]))], dtype=float).reshape(-1, len(FEATURES))
+
+
+def score_histogram(docs: DataFrame, model: Model, cuts, text_col: str = "text") -> np.ndarray:
+    """Rows of docs, all of them, by the number of cuts that their logit reaches: len(cuts) + 1 counts."""
+    z = let(features(F.col(text_col)), model.logit)
+    bin_of = let(z, lambda v: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= v)))
+    out = np.zeros(len(cuts) + 1)
+    for r in docs.select(bin_of.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def fit(
+    docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED,
+) -> Model:
+    """positives: ids of trusted documents, column id_col. The weights are fitted on the rows of max_positives ids of those and of
+    max_unlabelled ids of docs at most, the first by a hash of the id and one row each; the class prior takes the scores of all
+    rows of docs (null ids and repeated rows too) against half the sampled positives. Without positives or documents the model
+    knows nothing."""
     pick = lambda d, n: d.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(n)
-    p, u = _rows(docs, pick(positives, MAX_POSITIVES), id_col, text_col), _rows(docs, pick(docs, MAX_UNLABELLED), id_col, text_col)
+    p, u = _rows(docs, pick(positives, max_positives), id_col, text_col), _rows(docs, pick(docs, max_unlabelled), id_col, text_col)
     if not len(p) or not len(u):
         k = len(FEATURES)
         return Model((0.0,) * k, (1.0,) * k, (0.0,) * k, 0.0, 0.5)
-    return fit_pu(p, u)
+    return fit_pu(p, u, lambda model, cuts: score_histogram(docs, model, cuts, text_col))
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -93,6 +93,23 @@ def test_classifier(spark, docs, none):
     assert quality_classifier.classify(none, quality_classifier.fit(none, none)).count() == 0
 
 
+def test_classifier_sees_the_whole_corpus(spark):
+    prose = " ".join(f"w{j * j % 97}" for j in range(60))
+    # 40 ids; one of them repeats 200 times, as prose.
+    x = [(i, prose) for i in range(20)] + [(i, "### $$$ BUY!! NOW!! " * (5 + i % 5)) for i in range(20, 40)]
+    d = spark.createDataFrame(x + [(7, prose)] * 199, "doc_id long, text string").repartition(3)
+    good = d.where("doc_id < 20").select("doc_id")
+    ids = d.select("doc_id").distinct().withColumnRenamed("doc_id", "i")
+    assert len(quality_classifier._rows(d, ids, "doc_id", "text")) == 40
+    m = quality_classifier.fit(d, good, max_positives=20, max_unlabelled=40)
+    n = quality_classifier.score_histogram(d, m, [-1e9, 0.0, 1e9])
+    assert n.sum() == len(x) + 199 and n[0] == n[3] == 0
+    # By rows 219 of 239 are prose; by ids, as a sample has them, half.
+    assert m.prior > 0.8
+    few = quality_classifier.fit(d, good, max_positives=6, max_unlabelled=10)
+    assert few != m and few == quality_classifier.fit(d.repartition(5), good, max_positives=6, max_unlabelled=10)
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "payload " * 300
     rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (None, "http://f", big)]
