@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-#: Turns in one row at most; longer dialogues go on in further rows, so that no row or task holds an unbounded dialogue.
+#: A dialogue is cut into rows at the turn numbers that are multiples of this. Null, negative and tied turn numbers fall into one
+#: part however many they are, so only turns with distinct numbers bound a row.
 TURNS = 256
 NARRATOR = "system"
 
