@@ -65,8 +65,8 @@ def cosine(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, limit: int = LIMIT, k: int = RRF_K) -> DataFrame:
-    """(id, score, bm25, cosine): reciprocal rank fusion; documents with neither score above 0 are out. Ranks are whole-table, so
-    both lists are ranked by sorted ranges, not in one task, beyond what a memory of queries holds."""
+    """(id, score, bm25, cosine): reciprocal rank fusion; documents with neither score above 0 are out. Ranks are whole-table
+    and by a window without partitions: each list goes to one task, which fits a memory of queries and not a large table."""
     rank = lambda d, name: d.select("id", F.col("score").alias(name), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias(f"r_{name}"))
     both = rank(lexical, "bm25").join(rank(vector, "cosine"), "id", "full")
     part = lambda n: F.coalesce(1.0 / (k + F.col(f"r_{n}")), F.lit(0.0))
