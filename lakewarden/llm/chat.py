@@ -3,82 +3,80 @@ and the others as named users, and with a mask that trains on the speaker's own
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import quoted, table
 
-#: A dialogue is cut into rows at the turn numbers that are multiples of this. Null, negative and tied turn numbers fall into one
-#: part however many they are, so only turns with distinct numbers bound a row.
-TURNS = 256
 NARRATOR = "system"
+OWN_HEAD = "<|assistant|>\n"
 
 
 def rotate(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = NARRATOR, turns_per_row: int = TURNS,
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = NARRATOR, turns_per_row: int | None = None,
 ) -> DataFrame:
-    """One row for each conversation, participant (`perspective`) and part: conv_col, perspective, part, rendered, n_turns,
-    spans array<struct<start, end, train>> (code points of rendered, end exclusive; train: the mask), n_train_chars.
+    """One row for each conversation and participant (`perspective`): conv_col, perspective, part, rendered, n_turns, spans
+    array<struct<start, end>> (the mask: the code points of rendered that are trained on, end exclusive), n_train_chars.
 
     A turn is rendered as "<|role name=NAME|>\\nTEXT<|end|>\\n", with the role assistant for the perspective's own turns (no
     name), user for the others, system for the narrator's, who is no participant. The mask covers TEXT<|end|> of own turns. A
-    marker's "<|" inside a text or a name is written "<\\u200b|", so no text can forge a turn. Part k holds turns
-    k * turns_per_row and up; a dialogue of fewer turns has part 0 only.
-    A null speaker is the participant "unknown"; a null text is empty; a null turn comes first, in part 0; a null conversation is
-    one conversation of its own. Ties in turn go by speaker, then text; repeated rows are kept. A conversation with the
-    narrator only gives no rows, nor does an empty table. Other columns are ignored.
+    marker's "<|" inside a text or a name is written "<\\u200b|", and "|>" inside a name "|\\u200b>", so nothing can forge a turn.
+    Dialogues are rendered whole, so part is 0. Only if turns_per_row is given is a dialogue cut after every so many turns, in
+    order; part numbers the pieces, which hold nothing of those before.
+    A null speaker is the participant "unknown"; a null text is empty; a null turn comes first; a null conversation is one
+    conversation of its own. Ties in turn go by speaker, then text; repeated rows are kept. Very long texts are rendered whole. A
+    conversation with the narrator only gives no rows, nor does an empty table. Other columns are ignored, whatever their names.
     """
-    safe = lambda c: F.regexp_replace(c, r"<\|", "<​|")
+    opener = lambda c: F.replace(c, F.lit("<|"), F.lit("<\u200b|"))
+    name = F.replace(opener(F.col("who")), F.lit("|>"), F.lit("|\u200b>"))
+    head = F.when(F.col("who") == narrator, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
     t = turns.select(
-        F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1).cast("long")).alias("turn"),
-        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("who"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(quoted(conv_col)).alias("conv"), F.coalesce(F.col(quoted(turn_col)).cast("long"), F.lit(-1).cast("long")).alias("turn"),
+        F.coalesce(F.col(quoted(speaker_col)).cast("string"), F.lit("unknown")).alias("who"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"),
     )
-    part = F.greatest(F.floor(F.col("turn") / turns_per_row), F.lit(0)).cast("long")
-    parts = t.groupBy("conv", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "who", "text"))).alias("turns"))
-    people = t.where(F.col("who") != narrator).select(F.col("conv").alias("c"), F.col("who").alias("perspective")).distinct()
-    d = parts.join(people, F.col("conv").eqNullSafe(F.col("c")))
-
-    def pieces(me):
-        def one(x):
-            own = x["who"] == me
-            head = F.when(own, F.lit("<|assistant|>\n")).when(x["who"] == narrator, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), safe(x["who"]), F.lit("|>\n")))
-            return F.struct(own.alias("own"), head.alias("head"), F.concat(safe(x["text"]), F.lit("<|end|>")).alias("body"))
-
-        return F.transform("turns", one)
-
-    def spans(p):
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,train:boolean>>").alias("s"))
-
-        def step(a, x):
-            b = a["at"] + F.length(x["head"])
-            e = b + F.length(x["body"])
-            return F.struct((e + 1).alias("at"), F.concat(a["s"], F.array(F.struct(b.alias("start"), e.alias("end"), x["own"].alias("train")))).alias("s"))
-
-        return F.aggregate(p, start, step, lambda a: a["s"])
-
-    text = lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "")
-    both = let(pieces(F.col("perspective")), lambda p: F.struct(text(p).alias("rendered"), spans(p).alias("spans")))
-    d = d.withColumn("x", both)
-    own = F.aggregate(F.filter("x.spans", lambda s: s["train"]), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return d.select(F.col("conv").alias(conv_col), "perspective", "part", "x.rendered", F.size("turns").cast("long").alias("n_turns"), "x.spans", own.alias("n_train_chars"))
+    t = t.withColumn("body", F.concat(opener(F.col("text")), F.lit("<|end|>"))).withColumn("head", head)
+    order = ["turn", "who", "text"]
+    part = F.lit(0) if turns_per_row is None else F.floor((F.row_number().over(Window.partitionBy("conv").orderBy(*order)) - 1) / turns_per_row)
+    t = t.withColumn("part", part.cast("long"))
+    # Where a turn starts if everyone is a user, and by how much a speaker's own earlier turns move it from their own side.
+    before = Window.partitionBy("conv", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv", "part", "who").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.lit(len(OWN_HEAD)) - F.length("head")
+    size = lambda c: F.length(c).cast("long")
+    at = F.coalesce(F.sum(size("head") + size("body") + 1).over(before), F.lit(0)) + F.coalesce(F.sum(shift.cast("long")).over(own), F.lit(0))
+    t = t.withColumn("start", at + len(OWN_HEAD)).withColumn("stop", F.col("start") + size("body"))
+    # Windows and dialogues are dealt by conversation once. A participant may be silent in a part.
+    people = F.collect_set("who") if turns_per_row is None else F.first(F.col("everyone"))
+    if turns_per_row is not None:
+        t = t.withColumn("everyone", F.collect_set("who").over(Window.partitionBy("conv")))
+    turn = F.struct("turn", "who", "text", "head", "body", "start", "stop")
+    d = t.groupBy("conv", "part").agg(F.sort_array(F.collect_list(turn)).alias("turns"), people.alias("people"))
+    d = d.withColumn("me", F.explode(F.filter("people", lambda x: x != narrator)))
+    line = lambda x: F.concat(F.when(x["who"] == F.col("me"), F.lit(OWN_HEAD)).otherwise(x["head"]), x["body"], F.lit("\n"))
+    mine = F.transform(F.filter("turns", lambda x: x["who"] == F.col("me")), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("end")))
+    d = d.withColumn("spans", mine)
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    rendered = F.array_join(F.transform("turns", line), "")
+    return d.select(F.col("conv").alias(conv_col), F.col("me").alias("perspective"), "part", rendered.alias("rendered"), F.size("turns").cast("long").alias("n_turns"), "spans", n.alias("n_train_chars"))
 
 
 def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation from each participant's side; the mask as text "start-end" of the trained spans."""
+    """Every conversation, whole, from each participant's side; the mask as text "start-end" of the trained spans."""
     r = rotate(table(spark, sf_dir, "conversations"))
-    mask = F.array_join(F.transform(F.filter("spans", lambda s: s["train"]), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return r.select("conv_id", "perspective", "part", "rendered", "n_turns", "n_train_chars", mask.alias("train_spans"))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return r.select("conv_id", "perspective", "rendered", "n_turns", "n_train_chars", mask.alias("train_spans"))
 
 
 OP2_SQL = rf"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> '{NARRATOR}'),
-x AS (SELECT t.conv_id, p.perspective, greatest(floor(turn / {TURNS}), 0)::BIGINT AS part, turn, who, text, who = perspective AS own,
-    CASE WHEN who = perspective THEN '<|assistant|>' || chr(10) WHEN who = '{NARRATOR}' THEN '<|system|>' || chr(10) ELSE '<|user name=' || replace(who, '<|', '<' || chr(8203) || '|') || '|>' || chr(10) END AS head,
+x AS (SELECT t.conv_id, p.perspective, turn, who, text, who = perspective AS own,
+    CASE WHEN who = perspective THEN '<|assistant|>' || chr(10) WHEN who = '{NARRATOR}' THEN '<|system|>' || chr(10)
+      ELSE '<|user name=' || replace(replace(who, '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') || '|>' || chr(10) END AS head,
     replace(text, '<|', '<' || chr(8203) || '|') || '<|end|>' AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, who, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS s FROM x)
-SELECT conv_id, perspective, part, string_agg(head || body || chr(10), '' ORDER BY turn, who, text) AS rendered, count(*) AS n_turns,
+y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, who, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS s FROM x)
+SELECT conv_id, perspective, string_agg(head || body || chr(10), '' ORDER BY turn, who, text) AS rendered, count(*) AS n_turns,
   coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_train_chars,
   coalesce(string_agg(s::BIGINT || '-' || (s + length(body))::BIGINT, ',' ORDER BY turn, who, text) FILTER (WHERE own), '') AS train_spans
-FROM y GROUP BY conv_id, perspective, part
+FROM y GROUP BY conv_id, perspective
 """

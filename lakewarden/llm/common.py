@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Largest side, in rows, that is ever broadcast; larger sides take a shuffled, salted way.
-BROADCAST_ROWS = 1_000_000
-SALTS = 16
+#: Largest side, in rows and in bytes, that is ever broadcast; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128_000_000
+#: In a shuffled join, a key of so many rows is hot and dealt to SALTS tasks.
+HOT_ROWS, SALTS = 100_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local run (tests) has a folder of
+    its own, and a cluster is refused."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = getattr(shared_dir, "own", None)
         if conf is None:
             conf = shared_dir.own = tempfile.mkdtemp(prefix="lakewarden-")
@@ -35,12 +39,73 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def persist_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakewarden/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark resolves it to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_LEFT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Folders that results may read until the program ends."""
+    for path, spark in _LEFT.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001, S112 - the JVM may be gone; nothing is left to do then
+            continue
+
+
+class Scratch:
+    """An operator's intermediate tables, in the shared folder: each cuts the lineage and survives lost executors. drop() deletes
+    those that nothing reads any more; what a result still reads goes when the program ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def folder(self, tag: str) -> str:
+        path = f"{shared_dir(self.spark)}/lakewarden/{tag}-{uuid.uuid4().hex}"
+        _LEFT[path] = self.spark
+        return path
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.folder(tag)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete all tables but keep."""
+        for path in [p for p, df in self.paths.items() if not any(df is k for k in keep)]:
+            _delete(self.spark, path)
+            _LEFT.pop(path, None)
+            del self.paths[path]
+
+
+def persist_table(df, tag):
+    return Scratch(df.sparkSession).table(df, tag)
+
+
+def wrap(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one struct column `row`, beside columns of the operator's own: no name can clash. unwrap() undoes it."""
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]) if docs.columns else F.struct()
+    return docs.select(row.alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def unwrap(df: DataFrame, *columns: Column) -> DataFrame:
+    return df.select("row.*", *columns)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def let(value: Column, body) -> Column:
@@ -57,27 +122,41 @@ def n_words_of(text: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows and BROADCAST_BYTES, both counted; reads no more rows than that."""
+    width = F.lit(32 + 8 * len(df.columns))
+    for f in df.schema:
+        if f.dataType.typeName() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(quoted(f.name)), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
+
+
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, key: Column, salts: int = SALTS, rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left join right (inner or left) on null-safe keys, in which right does not repeat. right is broadcast if it is small by
+    count. Otherwise both are shuffled: right's hot keys are copied once for each salt, and left's rows of a hot key are spread
+    over the salts by `key`; all other keys are dealt once."""
+    names = {c: n for c, n in zip([*on, "salt", "hot"], fresh(left.select(*left.columns, *[F.lit(None).alias(c) for c in right.columns if c not in left.columns]), *[f"r_{c}" for c in on], "r_salt", "r_hot"), strict=True)}
+    cols = [F.col(c) for c in right.columns if c not in on]
 
+    def same(a: list[str], b: list[str]) -> Column:
+        cond = F.lit(True)
+        for x, y in zip(a, b, strict=True):
+            cond = cond & F.col(x).eqNullSafe(F.col(y))
+        return cond
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, key: Column, salts: int = SALTS, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """left join right on null-safe keys. right is broadcast if it is small by count; otherwise it is copied once for each
-    salt, and left's rows spread over the salts by key, so that a hot key is dealt to that many tasks."""
-    cols = [F.col(c) for c in right.columns if c not in on]
+    r_on = [names[c] for c in on]
+    r = right.select(*[F.col(c).alias(names[c]) for c in on], *cols)
     if small(right, rows):
-        r = F.broadcast(right.select(*[F.col(c).alias(f"__r_{c}") for c in on], *cols))
-        return left.join(r, _same(on), how).drop(*[f"__r_{c}" for c in on])
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in on], *cols).withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    return salted.join(r, _same(on) & (F.col("__salt") == F.col("__r_salt")), how).drop("__salt", "__r_salt", *[f"__r_{c}" for c in on])
-
-
-def _same(on: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return cond
+        return left.join(F.broadcast(r), same(on, r_on), how).drop(*r_on)
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias(names["hot"])).where(F.col(names["hot"]) >= hot_rows)
+    hot = hot.select(*[F.col(c).alias(f"{names[c]}_h") for c in on], names["hot"])
+    h_on = [f"{names[c]}_h" for c in on]
+    mark = F.broadcast(hot) if small(hot, rows) else hot
+    salt, is_hot = names["salt"], F.col(names["hot"]).isNotNull()
+    le = left.join(mark, same(on, h_on), "left").drop(*h_on).withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(0).cast("int")).drop(names["hot"])
+    r = r.join(mark, same(r_on, h_on), "left").drop(*h_on)
+    r = r.withColumn(f"{salt}_r", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(names["hot"])
+    return le.join(r, same([*on, salt], [*r_on, f"{salt}_r"]), how).drop(salt, f"{salt}_r", *r_on)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -2,7 +2,9 @@
 
 Every metric's distribution is kept as a mergeable quantile sketch: counts in logarithmic buckets of relative error ALPHA
 (Masson, Rim and Lee, "DDSketch", VLDB 2019), which are plain sums and so merge in any order, on any number of tasks, to the
-same sketch. A language and source's fence is its upper quartile plus a multiple of its quartile distance; documents are then
+same sketch. A language and source's fence is read off its sketch alone: a tail quantile, plus a multiple of that quantile's
+distance from the median. No cutoff is fixed: if all values of a group are scaled, its fences scale with them. Groups of too few
+documents to have a tail take the merged sketch of their language, and small languages that of all documents. Documents are then
 joined with the fences of their group. Nothing but the sketches is shuffled.
 """
 
@@ -13,13 +15,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, join_small, let, n_words_of, persist_table, table, words_of
+from .common import BROADCAST_ROWS, Scratch, fresh, join_small, let, n_words_of, quoted, table, unwrap, words_of, wrap
 
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: Metric, per mille (mean_word: hundredths of a code point), and the least quartile distance that its fence assumes.
-METRICS = {"symbol_rate": 15, "upper_rate": 40, "dup_line_rate": 120, "mean_word": 80}
-SPREADS = 3.0
+#: Metrics, per mille (mean_word: hundredths of a code point), and the quantile at which a group's tail is taken to start. Lines
+#: are repeated in few documents of any kind, so that tail starts later.
+METRICS = {"symbol_rate": 0.85, "upper_rate": 0.85, "dup_line_rate": 0.95, "mean_word": 0.85}
+#: The metrics that are fenced from below as well.
+TWO_SIDED = ("mean_word",)
+SPREADS = 2.0
+#: Documents that a group's own sketch needs; smaller groups take the one above.
+MIN_GROUP = 200
 MIN_WORDS = 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -59,18 +66,20 @@ def _counts(text: Column) -> dict[str, Column]:
     }
 
 
-def with_counts(docs: DataFrame, text_col: str, repeats: bool) -> tuple[DataFrame, str]:
-    """docs with a struct column of counts, and that column's name; a null text counts as empty."""
-    q, t = fresh(docs, "q_counts", "q_text")
-    docs = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    c = _counts(F.col(t))
-    fields = [c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "lines", "n_upper")]
-    if repeats:
-        fields.append(_repeated(words_of(F.col(t))).alias("n_repeat_words"))
-    return docs.withColumn(q, F.struct(*fields)).drop(t), q
+def counts(text: Column, repeats: bool) -> Column:
+    """A struct of what the rules count in a whole text; a null text counts as empty."""
 
+    def of(t: Column) -> Column:
+        c = _counts(t)
+        fields = [c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "lines", "n_upper")]
+        if repeats:
+            fields.append(_repeated(words_of(t)).alias("n_repeat_words"))
+        return F.struct(*fields)
 
-def metrics(q: str) -> dict[str, Column]:
+    return of(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def metrics(q: str = "q") -> dict[str, Column]:
     """Whole numbers, so that every engine has the same ones."""
     chars, words = F.greatest(F.col(f"{q}.word_chars"), F.lit(1)), F.greatest(F.col(f"{q}.n_words"), F.lit(1))
     per = lambda a, b, k: F.floor(a * k / b).cast("long")
@@ -89,66 +98,104 @@ def bucket_value(b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), (b - 1).cast("double")) / (GAMMA + 1))
 
 
-def sketches(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, metric, b, n): the sketch of each metric over documents of MIN_WORDS words or more. Additive: the union
-    of two tables' sketches, summed, is the sketch of their union."""
-    q_docs, q = with_counts(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")), "text", False)
-    m = metrics(q)
-    long = q_docs.where(F.col(f"{q}.n_words") >= MIN_WORDS).select("lang", "source", *[bucket(v).alias(k) for k, v in m.items()])
-    # Whole rows of buckets first: fewer of them than four single ones.
+def sketches(counted: DataFrame) -> DataFrame:
+    """counted (lang, source, q) -> (lang, source, metric, b, n): the sketch of each metric over documents of MIN_WORDS words or
+    more. Additive: the union of two tables' sketches, summed, is the sketch of their union. Null languages and sources are
+    groups like others; an empty table has no sketch."""
+    m = metrics()
+    long = counted.where(F.col("q.n_words") >= MIN_WORDS).select("lang", "source", *[bucket(v).alias(k) for k, v in m.items()])
     rows = long.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("b")) for k in m])).alias("x"))
     return rows.groupBy("lang", "source", "x.metric", "x.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_sketches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The sketch of both tables' documents; either may be empty."""
     return a.unionByName(b).groupBy("lang", "source", "metric", "b").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, spreads: float = SPREADS) -> DataFrame:
-    """(lang, source, <metric>_max ..., mean_word_min): quartiles read off the sketch; the fence is the upper quartile plus
-    spreads times the quartile distance, which counts as METRICS[metric] at least."""
-    by = Window.partitionBy("lang", "source", "metric")
-    s = sketch.withColumn("upto", F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
+def fences(sketch: DataFrame, spreads: float = SPREADS, min_group: int = MIN_GROUP) -> DataFrame:
+    """(lang, source, <metric>_max ..., mean_word_min) of every group in sketch. A fence is the tail quantile q of METRICS, plus
+    spreads times its distance from the median; from below likewise. A group of fewer than min_group documents takes its
+    language's merged sketch, a language of fewer that of all documents."""
+    # Level 0: the group itself, 1: its language, 2: everything; a group is judged by the first level that has enough.
+    levels = []
+    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
+        one = sketch.groupBy(*keys, "metric", "b").agg(F.sum("n").alias("n"))
+        levels.append(one.select(*[F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in ("lang", "source")], F.lit(level).alias("level"), "metric", "b", "n"))
+    merged = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    by = Window.partitionBy("lang", "source", "level", "metric")
+    s = merged.withColumn("upto", F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
+    tail = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[F.col("metric")]
     at = lambda p: bucket_value(F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("b"))))
-    quart = s.groupBy("lang", "source", "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
-    least = F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, float(v))])
-    d = spreads * F.greatest(F.col("q3") - F.col("q1"), least[F.col("metric")])
-    quart = quart.select("lang", "source", "metric", (F.col("q1") - d).alias("lo"), (F.col("q3") + d).alias("hi"))
-    of = lambda k, c: F.max(F.when(F.col("metric") == k, F.col(c)))
-    return quart.groupBy("lang", "source").agg(*[of(k, "hi").alias(f"{k}_max") for k in METRICS], of("mean_word", "lo").alias("mean_word_min"))
+    q = s.withColumn("tail", tail).groupBy("lang", "source", "level", "metric").agg(at(F.lit(0.5)).alias("mid"), at(F.col("tail")).alias("high"), at(1 - F.col("tail")).alias("low"), F.max("all").alias("all"))
+    hi, lo = F.col("high") + spreads * (F.col("high") - F.col("mid")), F.col("low") - spreads * (F.col("mid") - F.col("low"))
+    of = lambda k, c: F.max(F.when(F.col("metric") == k, c))
+    wide = q.groupBy("lang", "source", "level").agg(F.max("all").alias("all"), *[of(k, hi).alias(f"{k}_max") for k in METRICS], *[of(k, lo).alias(f"{k}_min") for k in TWO_SIDED])
+    names = [*[f"{k}_max" for k in METRICS], *[f"{k}_min" for k in TWO_SIDED]]
+    at_level = lambda i, keys: wide.where(F.col("level") == i).select(*[F.col(c).alias(f"{c}{i}") for c in keys], F.struct("all", *names).alias(f"f{i}"))
+    g = at_level(0, ("lang", "source")).join(at_level(1, ("lang",)), F.col("lang0").eqNullSafe(F.col("lang1")))
+    top = wide.where("level = 2").select(*names).first()  # one row, if there is any
+    every = F.struct(F.lit(None).cast("long").alias("all"), *[F.lit(top[c] if top else None).cast("double").alias(c) for c in names])
+    chosen = F.when(F.col("f0.all") >= min_group, F.col("f0")).when(F.col("f1.all") >= min_group, F.col("f1")).otherwise(every)
+    return g.select(F.col("lang0").alias("lang"), F.col("source0").alias("source"), chosen.alias("f")).select("lang", "source", *[F.col(f"f.{c}").alias(c) for c in names])
+
+
+def _verdict(judged: DataFrame, fence: DataFrame, broadcast_rows: int) -> tuple[DataFrame, Column]:
+    """judged (lang, source, q with repeats, ...) joined with its fences, and the verdict as a struct."""
+    d = join_small(judged, fence, ["lang", "source"], "left", F.col("q.word_chars"), rows=broadcast_rows)
+    inside = F.lit(True)
+    for k, v in metrics().items():
+        inside = inside & (v <= F.col(f"{k}_max"))
+        if k in TWO_SIDED:
+            inside = inside & (v >= F.col(f"{k}_min"))
+    failed = (F.col("q.n_words") < MIN_WORDS) | (100 * F.col("q.n_repeat_words") > 30 * F.col("q.n_words"))
+    return d, F.struct(
+        F.col("q.n_words"), F.col("q.word_chars"), F.col("q.n_symbols"), F.col("q.lines.dup").alias("n_dup_lines"), F.col("q.n_repeat_words"),
+        failed.alias("base_failed"), F.coalesce(~failed & inside, F.lit(False)).alias("kept"),
+    )
+
 
+def _group(lang_col: str, source_col: str) -> dict[str, Column]:
+    return {"lang": F.col(quoted(lang_col)).cast("string"), "source": F.col(quoted(source_col)).cast("string")}
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spreads: float = SPREADS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+
+def quality_rules(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spreads: float = SPREADS, min_group: int = MIN_GROUP, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """docs with a struct column `quality` (or `_quality`, ... where that is taken): n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept.
+    n_repeat_words, base_failed, kept. All other columns stay as they came, whatever their names.
 
     base_failed: fewer than MIN_WORDS words, or over 30 % of words in repeated windows. kept: not base_failed, and each metric
     inside the fences of the document's language and source. A null text counts as empty and so fails; null languages and
-    sources are groups of their own; repeated rows are judged alike, each for itself. A group of which no document reaches
-    MIN_WORDS has no fences, and none of its documents is kept. An empty table gives no rows.
+    sources are groups of their own; whole texts are counted, however long; repeated rows are judged alike, each for itself. An
+    empty table gives no rows. The texts are read twice, once for the sketches and once for the verdicts, and never copied.
     """
-    f = persist_table(fences(sketches(docs, text_col, lang_col, source_col), spreads), "fences")
-    f = f.select(*[F.col(c).alias(f"__f_{c}") for c in f.columns])
-    d, q = with_counts(docs, text_col, True)
-    d = d.withColumns({"__f_lang": F.col(lang_col).cast("string"), "__f_source": F.col(source_col).cast("string")})
-    d = join_small(d, f, ["__f_lang", "__f_source"], "left", F.col(f"{q}.word_chars"), rows=broadcast_rows)
-    m = metrics(q)
-    inside = F.lit(True)
-    for k, v in m.items():
-        inside = inside & (v <= F.col(f"__f_{k}_max"))
-    inside = inside & (m["mean_word"] >= F.col("__f_mean_word_min"))
-    failed = (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > 30 * F.col(f"{q}.n_words"))
+    scratch = Scratch(docs.sparkSession)
+    group = _group(lang_col, source_col)
+    sketch = scratch.table(sketches(docs.select(*[v.alias(k) for k, v in group.items()], counts(F.col(quoted(text_col)), False).alias("q"))), "sketches")
+    f = scratch.table(fences(sketch, spreads, min_group), "fences")
+    scratch.drop(f)
+    d, verdict = _verdict(wrap(docs, **group, q=counts(F.col(quoted(text_col)), True)), f, broadcast_rows)
     (name,) = fresh(docs, "quality")
-    verdict = F.struct(
-        F.col(f"{q}.n_words"), F.col(f"{q}.word_chars"), F.col(f"{q}.n_symbols"), F.col(f"{q}.lines.dup").alias("n_dup_lines"), F.col(f"{q}.n_repeat_words"),
-        failed.alias("base_failed"), F.coalesce(~failed & inside, F.lit(False)).alias("kept"),
-    )
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias(name))
+    return unwrap(d, verdict.alias(name))
+
+
+def quality_verdicts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spreads: float = SPREADS, min_group: int = MIN_GROUP, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """id_col and the struct `quality` of quality_rules for each row of docs, all cases as there. The texts are read once: their
+    counts are kept in a narrow table, from which the sketches are made and which is joined with the fences."""
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.table(docs.select(F.col(quoted(id_col)).alias("id"), *[v.alias(k) for k, v in _group(lang_col, source_col).items()], counts(F.col(quoted(text_col)), True).alias("q")), "counts")
+    f = scratch.table(fences(scratch.table(sketches(counted), "sketches"), spreads, min_group), "fences")
+    scratch.drop(counted, f)
+    d, verdict = _verdict(counted, f, broadcast_rows)
+    return d.select(F.col("id").alias(id_col), verdict.alias("quality"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules(docs).select("doc_id", "quality.*")
+    """Every document with its counts and verdict. Null and empty texts fail the base; see quality_rules."""
+    return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
 _SQL_RATES = "floor(n_symbols * 1000 / greatest(word_chars, 1))::BIGINT AS symbol_rate, floor(n_upper * 1000 / greatest(word_chars, 1))::BIGINT AS upper_rate, floor(n_dup_lines * 1000 / greatest(n_lines, 1))::BIGINT AS dup_line_rate, floor(word_chars * 100 / greatest(n_words, 1))::BIGINT AS mean_word"
@@ -164,12 +211,15 @@ c AS (SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_re
     len(lines)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM b LEFT JOIN cov USING (doc_id)),
 r AS (SELECT *, {_SQL_RATES} FROM c),
 u AS (UNPIVOT (SELECT lang, source, symbol_rate, upper_rate, dup_line_rate, mean_word FROM r WHERE n_words >= {MIN_WORDS}) ON symbol_rate, upper_rate, dup_line_rate, mean_word INTO NAME metric VALUE v),
-s AS (SELECT lang, source, metric, CASE WHEN v <= 0 THEN 0 ELSE 1 + ceil(ln(v::DOUBLE) / {math.log(GAMMA)!r}) END::INT AS b, count(*) AS n FROM u GROUP BY ALL),
-k AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS every FROM s),
-q AS (SELECT lang, source, metric, min(CASE WHEN upto >= ceil(every * 0.25) THEN b END) AS b1, min(CASE WHEN upto >= ceil(every * 0.75) THEN b END) AS b3 FROM k GROUP BY ALL),
-v AS (SELECT lang, source, metric, CASE WHEN b1 = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, b1 - 1) / {GAMMA + 1!r} END AS q1, CASE WHEN b3 = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, b3 - 1) / {GAMMA + 1!r} END AS q3 FROM q),
-f AS (SELECT lang, source, metric, q1 - {SPREADS} * greatest(q3 - q1, d) AS lo, q3 + {SPREADS} * greatest(q3 - q1, d) AS hi FROM v JOIN (VALUES {', '.join(f"('{k}', {float(x)})" for k, x in METRICS.items())}) AS m(metric, d) USING (metric)),
-p AS (SELECT lang, source, {', '.join(f"max(CASE WHEN metric = '{k}' THEN hi END) AS {k}_max" for k in METRICS)}, max(CASE WHEN metric = 'mean_word' THEN lo END) AS mean_word_min FROM f GROUP BY ALL),
+s0 AS (SELECT lang, source, metric, CASE WHEN v <= 0 THEN 0 ELSE 1 + ceil(ln(v::DOUBLE) / {math.log(GAMMA)!r}) END::INT AS b, count(*) AS n FROM u GROUP BY ALL),
+s AS (SELECT 0 AS level, * FROM s0 UNION ALL SELECT 1, lang, NULL, metric, b, sum(n) FROM s0 GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, metric, b, sum(n) FROM s0 GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS every FROM s),
+q AS (SELECT level, lang, source, metric, every, min(CASE WHEN upto >= ceil(every * 0.5) THEN b END) AS b2, min(CASE WHEN upto >= ceil(every * tail) THEN b END) AS b3, min(CASE WHEN upto >= ceil(every * (1::DOUBLE - tail)) THEN b END) AS b1
+  FROM k JOIN (VALUES {', '.join(f"('{k}', {x}::DOUBLE)" for k, x in METRICS.items())}) AS m(metric, tail) USING (metric) GROUP BY ALL),
+v AS (SELECT *, {', '.join(f"CASE WHEN b{i} = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, b{i} - 1) / {GAMMA + 1!r} END AS q{i}" for i in (1, 2, 3))} FROM q),
+f AS (SELECT level, lang, source, max(every) AS every, {', '.join(f"max(CASE WHEN metric = '{k}' THEN q3 + {SPREADS} * (q3 - q2) END) AS {k}_max" for k in METRICS)}, max(CASE WHEN metric = 'mean_word' THEN q1 - {SPREADS} * (q2 - q1) END) AS mean_word_min FROM v GROUP BY ALL),
+p AS (SELECT a.lang, a.source, {', '.join(f"CASE WHEN a.every >= {MIN_GROUP} THEN a.{c} WHEN b.every >= {MIN_GROUP} THEN b.{c} ELSE c.{c} END AS {c}" for c in (*(f'{k}_max' for k in METRICS), 'mean_word_min'))}
+  FROM f a JOIN f b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang JOIN f c ON c.level = 2 WHERE a.level = 0),
 x AS (SELECT r.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     coalesce({' AND '.join(f'{k} <= {k}_max' for k in METRICS)} AND mean_word >= mean_word_min, false) AS inside
   FROM r LEFT JOIN p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source)

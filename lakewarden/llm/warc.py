@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_small, map_arrow, persist_table, shared_dir, table
+from .common import BROADCAST_ROWS, Scratch, join_small, map_arrow, qualified, quoted, table
 
 SKIPPABLE = 0x184D2A5D
 #: Records of a task that the dictionary is trained on, in bytes, and the dictionary's size; records are archived in full.
@@ -33,18 +34,22 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
+    """The file system of a path that has its scheme (see common.qualified), and the path in it."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path)
 
 
 def _line(name: str, value: str) -> bytes:
-    clean = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
+    clean = "".join(c if c > " " and c not in "%\x7f" else f"%{ord(c):02X}" for c in value)
     return f"{name}: {clean}\r\n".encode()
 
 
+def _plain(value: str) -> str:
+    """What _line wrote, as it was."""
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
+
+
 def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}')}>"
 
@@ -158,7 +163,7 @@ def read_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
                 while (end := buf.find(b"\r\n\r\n")) < 0:
                     if not more():
                         raise ValueError(f"{path}: cut short")
-                head = dict(x.split(": ", 1) for x in buf[:end].decode().split("\r\n")[1:])
+                head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in buf[:end].decode().split("\r\n")[1:])
                 n = int(head["Content-Length"])
                 rest = [buf[end + 4 :]]
                 have = len(rest[0])
@@ -176,7 +181,7 @@ def read_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, salts: int = 16) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose payload a page of larger id has too."""
-    p = pages.select(F.col(id_col).alias("page_id"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("b"))
+    p = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.encode(F.coalesce(F.col(quoted(html_col)).cast("string"), F.lit("")), "UTF-8").alias("b"))
     p = p.where(F.octet_length("b") >= REVISIT_BYTES).select("page_id", F.concat(F.sha1("b"), F.hex(F.xxhash64("b"))).alias("digest"))
     groups = p.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
     d = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
@@ -185,16 +190,19 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, salts: int = 16) -> D
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Archive every page under folder (shared by all executors); returns the manifest (path, n_records, n_bytes), written once.
+    """Archive every page under folder (shared by all executors; a path means what it means to Spark); returns the manifest (path,
+    n_records, n_bytes), written once.
 
     Of equal payloads of REVISIT_BYTES or more the page of the largest id is the response, others are revisits of it. A null html
-    is an empty payload; a null id is smaller than any other and goes into the record as no id; a null url is left out.
-    Rows that repeat the id and the payload of a response are responses as well. An empty table gives no archive. Other columns
-    are ignored.
+    is an empty payload; a null id is smaller than any other and goes into the record as no id; a null url is left out. Very long
+    payloads are archived whole. Rows that repeat the id and the payload of a response are responses as well. An empty table gives
+    no archive. Other columns are ignored, whatever their names.
     """
-    again = persist_table(revisits(pages, id_col, html_col), "revisits")
-    body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("digest", F.concat(F.sha1("body"), F.hex(F.xxhash64("body"))))
+    scratch = Scratch(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
+    again = scratch.table(revisits(pages, id_col, html_col), "revisits")
+    body = F.encode(F.coalesce(F.col(quoted(html_col)).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.concat(F.sha1("body"), F.hex(F.xxhash64("body"))))
     rows = join_small(rows, again, ["page_id", "digest"], "left", F.col("digest"), salts=1, rows=broadcast_rows).select("page_id", "url", "body", "refers_to")
     kind = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -207,12 +215,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         if files := w.close():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*files, strict=True), kind.types, strict=True)], schema=kind)
 
-    return persist_table(map_arrow(rows, run, "path string, n_records long, n_bytes long"), "manifest")
+    manifest = scratch.table(map_arrow(rows, run, "path string, n_records long, n_bytes long"), "manifest")
+    scratch.drop(manifest)
+    return manifest
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the manifest's archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest (SHA-1,
-    lower-case hex), payload (null for revisits), ok (the digest and length of what was read are those on record)."""
+    lower-case hex), payload (null for revisits), ok (the digest and length of what was read are those on record). What was null
+    when written is null again; an empty manifest gives no rows."""
     n = max(1, min(manifest.count(), 10_000))
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("ok", pa.bool_())])
 
@@ -227,7 +238,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                     full = head["WARC-Type"] == "response"
                     ok = not full or (len(payload) == size and hashlib.sha1(payload).hexdigest() == digest)
                     page, ref = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
-                    rows.append((page and int(page), head.get("WARC-Target-URI"), head["WARC-Type"], ref and int(ref), size, digest, payload if full else None, ok))
+                    url = head.get("WARC-Target-URI")
+                    rows.append((page and int(page), url if url is None else _plain(url), head["WARC-Type"], ref and int(ref), size, digest, payload if full else None, ok))
                     held += len(payload) + 200
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
@@ -239,7 +251,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/lakewarden/warc-{uuid.uuid4().hex}")
+    """Every page, archived and read back. The archives go when the program ends; nulls and ties as in write_warc."""
+    manifest = write_warc(table(spark, sf_dir, "pages"), Scratch(spark).folder("warc"))
     r = read_warc(manifest)
     wrong = F.raise_error(F.concat(F.lit("payload of page "), F.col("page_id").cast("string"), F.lit(" differs from its digest"))).cast("string")
     return r.select("page_id", "payload_bytes", F.when(F.col("ok"), F.col("payload_digest")).otherwise(wrong).alias("payload_digest"), "record_type", "refers_to")
