@@ -1,23 +1,26 @@
 """Quality classifier by positive-unlabelled learning.
 
 The non-negative unbiased risk (Kiryo, Niu, du Plessis and Sugiyama, NeurIPS 2017) is minimised over trusted positives and
-unlabelled web text: pi * R_p+ + max(0, R_u- - pi * R_p-). The class prior pi is estimated by best bin estimation (Garg et al.,
-NeurIPS 2021) from a sample of the positives and a histogram of the scores of all training documents. Features and scores are
-Spark expressions; only the bounded samples are fitted on the driver. No negative label is read.
+unlabelled web text: pi * R_p+ + max(0, R_u- - pi * R_p-), here for a linear model by Newton steps whose sums run over all
+rows of a table of features. The class prior pi is estimated by best bin estimation (Garg et al., NeurIPS 2021) from histograms
+of the scores of all positives and unlabelled rows of the half that did not fit them. No negative label is read, nothing is
+sampled, and only sums come to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, let, table, words_of
+from .common import Scratch, fresh, let, map_arrow, quoted, small, table, words_of
 
-#: What fit() has for its bounds unless it is given others.
-MAX_POSITIVES, MAX_UNLABELLED = 10_000, 20_000
+#: Weight of the ridge.
+L2 = 1e-3
 FOLDS = 5
 THRESHOLD = 0.3
 FEATURES = ("symbols", "upper", "digits", "marks", "other", "mean_word", "long_word", "distinct", "adjacent", "lines", "dup_lines", "log_words")
@@ -64,116 +67,190 @@ class Model:
         return 1.0 / (1.0 + F.exp(-self.logit(x)))
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
-def _descend(grad, dim: int, steps: int, rate: float) -> np.ndarray:
-    """Adam; grad(w) at each step."""
-    w, m, v = np.zeros(dim), np.zeros(dim), np.zeros(dim)
-    for i in range(1, steps + 1):
-        g = grad(w)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-    return w
-
-
-def estimate_prior(p: np.ndarray, histogram, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled: the least ratio, over thresholds, of their upper share to p's, with confidence
-    widths. p: scores, by a classifier of positive against unlabelled, of positives that it was not fitted on. histogram(cuts):
-    the unlabelled's rows by the number of cuts that their score reaches, from none to all."""
-    if not len(p):
+def _bias(n: int) -> Model:
+    """What is known without positives or documents: nothing."""
+    return Model((0.0,) * n, (1.0,) * n, (0.0,) * n, 0.0, 0.5)
+
+
+COLUMNS = [f"x{i}" for i in range(len(FEATURES))]
+
+
+def featurise(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x0, x1, ...) of every row of docs, written once: the texts are not read again."""
+    x = docs.select(F.col(quoted(id_col)).alias("id"), features(F.col(quoted(text_col))).alias("x"))
+    return scratch.table(x.select("id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(COLUMNS)]), "features")
+
+
+def _sums(rows: DataFrame, numbers) -> dict[bool, np.ndarray]:
+    """numbers(x) summed over all rows (pos, x0, x1, ...), for positives and unlabelled apart. Each task sums its rows; as many
+    numbers as numbers() gives, twice, come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bool, np.ndarray] = {}
+        for b in batches:
+            pos = np.asarray(b.column(0).to_numpy(zero_copy_only=False), bool)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+            for side in (False, True):
+                if len(y := x[pos == side]):
+                    total[side] = total.get(side, 0.0) + numbers(y)
+        for side, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), side)), pa.array(np.arange(len(v))), pa.array(v)], names=["pos", "k", "v"])
+
+    out = map_arrow(rows.select("pos", *COLUMNS), run, "pos boolean, k long, v double").groupBy("pos", "k").agg(F.sum("v").alias("v")).collect()
+    got = {side: np.array([r["v"] for r in sorted(out, key=lambda r: r["k"]) if r["pos"] == side]) for side in (False, True)}
+    return {side: v for side, v in got.items() if len(v)}
+
+
+class Risk:
+    """The non-negative risk of a linear model over tables of any size: each evaluation is one pass over the features."""
+
+    def __init__(self, rows: DataFrame, mean: np.ndarray, scale: np.ndarray, l2: float):
+        self.rows, self.mean, self.scale, self.l2 = rows, mean, scale, l2
+
+    def at(self, w: np.ndarray, prior: float | None) -> tuple[tuple, tuple]:
+        """(value, gradient, Hessian) at w of the positives' risk and the ridge, and of what max(0, .) is taken of: the risk of the
+        negatives. Without a prior: of positives against unlabelled rows taken as negatives, each side weighing the same."""
+        mean, scale, d = self.mean, self.scale, len(w)
+
+        def numbers(x: np.ndarray) -> np.ndarray:
+            x = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+            z = x @ w
+            s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            as_neg = np.logaddexp(0, z)  # loss if the label is taken as negative; the other one is this less z
+            return np.concatenate([[len(x), z.sum(), as_neg.sum()], x.sum(0), s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
+
+        sums = _sums(self.rows, numbers)
+        p, u = (sums[side] / sums[side][0] for side in (True, False))
+        part = lambda v: (v[1], v[2], v[3 : 3 + d], v[3 + d : 3 + 2 * d], v[3 + 2 * d :].reshape(d, d))
+        (z_p, neg_p, x_p, sx_p, h_p), (_, neg_u, _, sx_u, h_u) = part(p), part(u)
+        ridge = np.append(np.full(d - 1, self.l2), 0.0)
+        a, b = (1.0, 0.0) if prior is None else (prior, prior)
+        pos = a * (neg_p - z_p) + 0.5 * (ridge * w * w).sum(), a * (sx_p - x_p) + ridge * w, a * h_p + np.diag(ridge)
+        return pos, (neg_u - b * neg_p, sx_u - b * sx_p, h_u - b * h_p)
+
+    def minimise(self, prior: float | None, steps: int = 30, tolerance: float = 1e-6) -> np.ndarray:
+        """The least of positives + max(0, negatives). That is the greatest over m in [0, 1] of positives + m * negatives, convex in
+        the weights for each m: Newton steps with m = 1 while the negatives' risk is above 0, and where it would fall below, on
+        weights and m together towards the point at which it is 0."""
+        w, m = np.zeros(len(self.mean) + 1), 1.0
+        best, least, last = w, np.inf, np.inf
+        for _ in range(steps):
+            (pv, pg, ph), (nv, ng, nh) = self.at(w, prior)
+            value = pv + max(0.0, nv)
+            if value < least:
+                best, least = w, value
+            h, g = ph + m * nh + 1e-9 * np.eye(len(w)), pg + m * ng
+            if abs(last - value) < tolerance and (m == 1.0 or abs(nv) < tolerance):
+                break
+            last = value
+            if nv < 0 or m < 1.0:
+                kkt = np.block([[h, ng[:, None]], [ng[None, :], np.zeros((1, 1))]])
+                step = np.linalg.lstsq(kkt, -np.append(pg, nv), rcond=None)[0]
+                step, m = step[:-1], float(np.clip(step[-1], 0.0, 1.0))
+            else:
+                step = -np.linalg.lstsq(h, g, rcond=None)[0]
+            longest = np.abs(step).max()
+            w = w + step * min(1.0, 4.0 / max(longest, 1e-12))
+        return best
+
+
+#: Bins of a logit, in the histograms that the prior is read off.
+BINS, BIN_LIMIT = 20, 40
+
+
+def score_histogram(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of all rows (pos, x0, ...), positives and unlabelled: counts by logit, in bins of 1 / BINS."""
+    z = F.greatest(F.least(model.logit(F.array(*COLUMNS)), F.lit(float(BIN_LIMIT))), F.lit(float(-BIN_LIMIT)))
+    out = np.zeros((2, 2 * BIN_LIMIT * BINS + 1))
+    for r in rows.groupBy("pos", F.floor(z * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+        out[int(r["pos"]), r["bin"] + BIN_LIMIT * BINS] = r["n"]
+    return out[1], out[0]
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled: the least ratio, over thresholds, of their upper share to the positives', with
+    confidence widths. p: histogram of the scores, by a classifier of positive against unlabelled, of positives that it was not
+    fitted on; u: of the unlabelled."""
+    if not p.sum() or not u.sum():
         return 0.5
-    # A little below the quantiles, so that rounding decides no tie.
-    cut = np.unique(np.quantile(p, np.linspace(0, 0.99, 200))) - 1e-9
-    n = np.asarray(histogram(cut), dtype=float)
-    if not (total := n.sum()):
-        return 0.5
-    qp = np.array([(p >= c).mean() for c in cut])
-    qu = n[::-1].cumsum()[::-1][1:] / total
-    width = np.sqrt(np.log(4 / delta) / (2 * total)) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
+    upper = lambda n: n[::-1].cumsum()[::-1] / n.sum()
+    qp, qu = upper(p), upper(u)
+    use = qp >= 0.01
+    qp, qu = qp[use], qu[use]
+    width = np.sqrt(np.log(4 / delta) / (2 * u.sum())) + np.sqrt(np.log(4 / delta) / (2 * p.sum()))
     best = int(np.argmin(qu / qp + width * (1 + qu / qp) / qp))
     return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
 
 
-def fit_pu(p: np.ndarray, u: np.ndarray, histogram, l2: float = 1e-3, steps: int = 600, rate: float = 0.03) -> Model:
-    """p, u: feature rows of trusted positives and of unlabelled texts. histogram(model, cuts): of the logits of all unlabelled
-    texts, as estimate_prior has it."""
-    both = np.vstack([p, u])
-    mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
-    model = lambda w, prior: Model(tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w[:-1])), float(w[-1]), prior)
-    add = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    p, u = add(p), add(u)
-    dim = p.shape[1]
-    ridge = lambda w: l2 * np.append(w[:-1], 0)
-
-    def pu(w, a=p[::2], b=u[::2]):
-        return -(a * (1 - _sigmoid(a @ w))[:, None]).mean(0) + (b * _sigmoid(b @ w)[:, None]).mean(0) + ridge(w)
-
-    w = _descend(pu, dim, 200, rate)
-    first = model(w, 0.5)
-    prior = estimate_prior(p[1::2] @ w, lambda cuts: histogram(first, cuts))
-
-    def nn(w):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        pos = -prior * (p * (1 - sp)[:, None]).mean(0)
-        neg = (u * su[:, None]).mean(0) - prior * (p * sp[:, None]).mean(0)
-        risk = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-        return (pos + neg if risk >= 0 else -neg) + ridge(w)
-
-    return model(_descend(nn, dim, steps, rate), prior)
-
-
 def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
 
 
-def _rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of one row for each of ids: of a repeated id the least features. In the order of the ids' hashes, for fit_pu
-    halves the rows by place."""
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i", "left_semi").select("i", features(F.col("t")).alias("x"))
-    one = found.groupBy("i").agg(F.min("x").alias("x")).select(F.xxhash64("i").alias("h"), F.col("i").cast("string").alias("i"), "x")
-    return np.array([r["x"] for r in sorted(one.collect(), key=lambda r: (r["h"], r["i"]))], dtype=float).reshape(-1, len(FEATURES))
-
-
-def score_histogram(docs: DataFrame, model: Model, cuts, text_col: str = "text") -> np.ndarray:
-    """Rows of docs, all of them, by the number of cuts that their logit reaches: len(cuts) + 1 counts."""
-    z = let(features(F.col(text_col)), model.logit)
-    bin_of = let(z, lambda v: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= v)))
-    out = np.zeros(len(cuts) + 1)
-    for r in docs.select(bin_of.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
-        out[r["bin"]] = r["n"]
-    return out
-
-
-def fit(
-    docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED,
-) -> Model:
-    """positives: ids of trusted documents, column id_col. The weights are fitted on the rows of max_positives ids of those and of
-    max_unlabelled ids of docs at most, the first by a hash of the id and one row each; the class prior takes the scores of all
-    rows of docs (null ids and repeated rows too) against half the sampled positives. Without positives or documents the model
-    knows nothing."""
-    pick = lambda d, n: d.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(n)
-    p, u = _rows(docs, pick(positives, max_positives), id_col, text_col), _rows(docs, pick(docs, max_unlabelled), id_col, text_col)
-    if not len(p) or not len(u):
-        k = len(FEATURES)
-        return Model((0.0,) * k, (1.0,) * k, (0.0,) * k, 0.0, 0.5)
-    return fit_pu(p, u, lambda model, cuts: score_histogram(docs, model, cuts, text_col))
+def fit_rows(rows: DataFrame, l2: float = L2) -> Model:
+    """rows (pos, half, x0, ...): the features of every trusted positive (pos) and of every unlabelled row. Half of the positives
+    and of the unlabelled fit the classifier that the prior is estimated with, on the others; then all fit the model."""
+    moments = _sums(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    if len(moments) < 2:
+        return _bias(len(FEATURES))
+    k = len(FEATURES)
+    n, s1, s2 = (lambda m: (m[0], m[1 : 1 + k], m[1 + k :]))(moments[False] + moments[True])
+    mean = s1 / n
+    scale = np.maximum(np.sqrt(np.maximum(s2 / n - mean * mean, 0)), 1e-3)
+
+    def model(w: np.ndarray, prior: float) -> Model:
+        # Rounded, so that the order in which tasks end does not show.
+        r = lambda v: tuple(float(f"{x:.9g}") for x in v)
+        return Model(r(mean), r(scale), r(w[:-1]), r(w[-1:])[0], prior)
+
+    first, rest = rows.where("half"), rows.where("not half")
+    if len(_sums(first, lambda x: np.array([float(len(x))]))) < 2:
+        first = rows
+    against = Risk(first, mean, scale, l2).minimise(None)
+    prior = round(estimate_prior(*score_histogram(rest, model(against, 0.5))), 9)
+    return model(Risk(rows, mean, scale, l2).minimise(prior), prior)
+
+
+def training_rows(table_: DataFrame, positives: DataFrame) -> DataFrame:
+    """table_ (id, x0, ...) of all training rows and positives (id): (pos, half, x0, ...), with the rows of positives once as
+    positives and all rows as unlabelled. Repeated positives count once; null ids are never positive."""
+    half = (F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("half")
+    u = table_.select(F.lit(False).alias("pos"), half, *COLUMNS)
+    ids = positives.where("id is not null").distinct()
+    ids = F.broadcast(ids) if small(ids) else ids
+    return u.unionByName(table_.join(ids, "id", "left_semi").select(F.lit(True).alias("pos"), half, *COLUMNS))
+
+
+def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", l2: float = L2) -> Model:
+    """positives: ids of trusted documents, column id_col. Every row of docs is unlabelled text, null and empty texts, null ids
+    and repeated rows too; the rows of trusted ids are positives as well. Nothing is sampled: each step sums over all rows. Very
+    long texts count as one row like others. Without positives or documents the model knows nothing."""
+    scratch = Scratch(docs.sparkSession)
+    x = featurise(docs, scratch, id_col, text_col)
+    rows = scratch.table(training_rows(x, positives.select(F.col(quoted(id_col)).alias("id"))), "training")
+    model = fit_rows(rows, l2)
+    scratch.drop()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a struct column quality_score (underscored where taken): score, predicted. Null and empty texts are scored
-    alike; repeated rows alike; an empty table gives no rows."""
+    """docs with a struct column quality_score (underscored where taken): score, predicted. All other columns stay as they came,
+    whatever their names. Null and empty texts are scored alike; repeated rows alike; an empty table gives no rows."""
     (name,) = fresh(docs, "quality_score")
-    score = let(features(F.col(text_col)), model.score)
+    score = let(features(F.col(quoted(text_col))), model.score)
     s = let(score, lambda z: F.struct(z.alias("score"), (z >= threshold).cast("int").alias("predicted")))
     return docs.withColumn(name, s)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = fold(F.col("doc_id")) != 0
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    model = fit(docs.where(train), labels.where(train & (F.col("quality") == 1)).select("doc_id"))
-    out = classify(docs, model)
-    return out.select("doc_id", F.coalesce(~train, F.lit(False)).alias("held_out"), "quality_score.score", "quality_score.predicted")
+    """Every document's score by a model fitted on the folds that are not held out; features are computed once for both."""
+    scratch = Scratch(spark)
+    x = featurise(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
+    train = F.coalesce(fold(F.col("id")) != 0, F.lit(True))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality").where(train)
+    good = labels.groupBy("id").agg(F.min("quality").alias("quality")).where("quality = 1").select("id")
+    rows = scratch.table(training_rows(x.where(train), good), "training")
+    model = fit_rows(rows)
+    scratch.drop(x)
+    score = model.score(F.array(*COLUMNS))
+    out = x.select(F.col("id").alias("doc_id"), (~train).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
