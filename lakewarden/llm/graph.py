@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_small, map_arrow, persist_table
+from .common import BROADCAST_ROWS, Scratch, join_small, map_arrow
 
 #: Links that a task holds at a time.
 CHUNK_LINKS = 500_000
@@ -64,27 +64,30 @@ def _stars(links: DataFrame, chunk: int) -> DataFrame:
 
 def connected_components(links: DataFrame, broadcast_rows: int = BROADCAST_ROWS, chunk: int = CHUNK_LINKS) -> DataFrame:
     """links (a, b) of long ids, neither null -> (v, label): label is the least id of v's component. Ids without a link to
-    another are absent. Repeated and reversed links are one; no links give no rows."""
+    another are absent. Repeated and reversed links are one; no links give no rows. Links that fit into one chunk are finished in
+    one task; that gives the same rows."""
+    scratch = Scratch(links.sparkSession)
     join = lambda d, side, on, how: join_small(d, side, [on], how, F.xxhash64(*d.columns), rows=broadcast_rows)
     levels: list[DataFrame] = []
     e = links.where("a <> b")
     for level in range(MAX_LEVELS):
-        e = persist_table(_stars(e, chunk).distinct(), "links")
-        if not e.limit(1).count():
+        e = scratch.table(_stars(e, chunk).distinct(), "links")
+        if e.count() <= chunk:
+            e = scratch.table(_stars(e.coalesce(1), chunk + 1), "links")
+            root = e.select(F.col("a").alias("v"), F.col("b").alias("up")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("up")).distinct())
             break
         ranked = lambda c: F.struct(F.xxhash64(F.lit(level), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("v")).agg(F.min(ranked("b")).alias("m"))
-        hook = persist_table(near.select("v", F.least(ranked("v"), "m")["id"].alias("up")), "hooks")
+        hook = scratch.table(near.select("v", F.least(ranked("v"), "m")["id"].alias("up")), "hooks")
         levels.append(hook)
         for c in ("a", "b"):
             e = join(e, hook.withColumnRenamed("v", c), c, "inner").drop(c).withColumnRenamed("up", c)
         e = e.where("a <> b")
     else:
         raise RuntimeError("components did not settle")
-    if not levels:
-        return e.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    root = levels.pop()
     while levels:  # a node's root is that of the node it was hooked to; one that no later level knows is a root
-        root = persist_table(join(levels.pop(), root.select(F.col("v").alias("up"), F.col("up").alias("root")), "up", "left").select("v", F.coalesce("root", "up").alias("up")), "roots")
-    least = persist_table(root.groupBy("up").agg(F.min("v").alias("label")), "roots")
-    return persist_table(join(root, least, "up", "inner").select("v", "label"), "labels")
+        root = scratch.table(join(levels.pop(), root.select(F.col("v").alias("up"), F.col("up").alias("root")), "up", "left").select("v", F.coalesce("root", "up").alias("up")), "roots")
+    least = scratch.table(root.groupBy("up").agg(F.min("v").alias("label")), "roots")
+    out = scratch.table(join(root, least, "up", "inner").select("v", "label"), "labels")
+    scratch.drop(out)
+    return out

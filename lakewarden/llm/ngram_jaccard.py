@@ -1,12 +1,13 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Similar documents are partitioned into groups; each group stores the union of its members' tokens; a document's overlap with
-that union bounds its overlap with every member, and only groups (and in them only documents) that the bound lets pass are
-opened and compared (after Li, Zhang, Sun and Liu, "LES3", VLDB 2021). The partition itself must not part documents that link:
-every set is cut into segments by token hash, in spaces of similar set sizes, with more filled segments than two linked sets
-can differ in, so linked sets agree on one segment at least (Deng, Li, Wen and Feng, VLDB 2016). Sets that agree on a segment
-are joined into families; groups are cut from families. Families of more than GROUP sets become several groups, whose pairs are
-bounded and opened in tasks of their own, so no task holds more than two groups.
+Similar documents are partitioned into groups; each group's token union is stored; a document's overlap with that union bounds
+its overlap with every member, and only groups that the bound lets pass are opened, for the documents that pass it (after Li,
+Zhang, Sun and Liu, "LES3", VLDB 2021). The partition itself must not part documents that link: every set is cut into segments by
+token hash, in spaces of similar set sizes, with more filled segments than two linked sets can differ in, so linked sets agree on
+one segment at least (Deng, Li, Wen and Feng, VLDB 2016). Sets that agree on a segment are joined into families, and groups are
+cut from families. Most families are one group, which is opened at once. A larger family is cut into groups by size; when those
+are opened most of its sets fall into few classes, and it is cut anew by class. Then each set meets the unions of those groups only
+that hold a set of another class with which it agrees on a segment, and what passes the bound is compared with the members.
 """
 
 from __future__ import annotations
@@ -17,53 +18,61 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytehash import Hashed, U, chunks, mix, string_bytes
-from .common import BROADCAST_ROWS, join_small, map_arrow, persist_table, small, table
+from .bytehash import LOWER, U, chunks, mix, string_bytes, word_hashes
+from .common import BROADCAST_ROWS, Scratch, join_small, map_arrow, quoted, small, table, unwrap, wrap
 from .graph import connected_components
 
 CHUNK = 1_000_000
 #: Sets in one group, and tokens in one group, at most (one set may be larger).
 GROUP, GROUP_TOKENS = 1024, 2_000_000
 SEEDS = 4
+#: Sets that a task holds against one group's union or members.
+QUERIES = 4096
 #: A segment that so many texts have is a common one.
 COMMON = 8
-#: Segments of three numbers each, about 60 bytes in memory, that are broadcast at most.
-SEGMENT_ROWS = 4_000_000
+#: Segments of three numbers each, about 60 bytes in memory, that are broadcast at most; they are counted, as are their bytes.
+SEGMENT_ROWS = 2_000_000
 
 
-def shingles(buf: np.ndarray, off: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, offsets): the distinct k-word shingles of each row as sorted 64-bit hashes; rows of fewer words are one shingle."""
+def shingles(buf: np.ndarray, off: np.ndarray, k: int, seed: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, other tokens, offsets): the distinct k-word shingles of each row as sorted 64-bit hashes, and if asked for as hashes
+    of a second kind, in the same places; rows of fewer words are one shingle."""
     n = len(off) - 1
     # A space behind each row keeps words apart.
     joined = np.full(len(buf) + n, 32, np.uint8)
-    joined[np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(off))] = buf
+    joined[np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(off))] = LOWER[buf]
     base = off + np.arange(n + 1)
     word = ~((joined == 32) | ((joined >= 9) & (joined <= 13)))
     edge = np.diff(word.astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    h = mix(Hashed(joined, seed, True).of(start, end))
+    kinds = word_hashes(joined, start, end, seed, second)
     first = np.searchsorted(start, base)
     count = np.diff(first)
-    out, sizes = [], np.zeros(n + 1, np.int64)
-    c = [U(pow(0xD6E8FEB86659FD93, j, 2**64)) for j in range(k)]
-    whole = np.zeros(0, U)
-    if len(h) >= k:
-        whole = sum((h[j : len(h) - k + 1 + j] * c[j] for j in range(1, k)), h[: len(h) - k + 1] * c[0])
-        whole = mix(whole)
+
+    def chain(h: np.ndarray, m: int) -> np.ndarray:
+        x = mix(h[: len(h) - m + 1] ^ U(m))
+        for j in range(1, m):
+            x = mix(x * U(0xD6E8FEB86659FD93) + h[j : len(h) - m + 1 + j])
+        return x
+
+    whole = [chain(h, k) if len(h) >= k else h[:0] for h in kinds]
+    out, sizes = [[] for _ in kinds], np.zeros(n + 1, np.int64)
     for i in range(n):
         a, m = first[i], count[i]
-        if m >= k:
-            t = np.unique(whole[a : a + m - k + 1])
-        elif m:
-            t = mix(np.array([(sum(int(h[a + j]) * int(c[j]) for j in range(m)) + int(m) * 0x2545F4914F6CDD1D) % 2**64], U))
+        rows = [x[a : a + m - k + 1] for x in whole] if m >= k else [chain(h[a : a + m], m) if m else h[:0] for h in kinds]
+        if second:
+            t, at = np.unique(rows[0], return_index=True)
+            out[1].append(rows[1][at])
         else:
-            t = whole[:0]
-        out.append(t)
+            t = np.unique(rows[0])
+        out[0].append(t)
         sizes[i + 1] = len(t)
-    return (np.concatenate(out) if out else whole[:0]), np.cumsum(sizes)
+    flat = [np.concatenate(x) if x else np.zeros(0, U) for x in out]
+    return flat[0], flat[-1], np.cumsum(sizes)
 
 
 @lru_cache(64)
@@ -120,13 +129,10 @@ def segment_keys(tokens: np.ndarray, off: np.ndarray, num: int, den: int) -> lis
     return out
 
 
-def set_ids(tokens: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set; 0 for the empty one."""
-    out = []
-    for salt in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F):
-        t = np.concatenate([np.zeros(1, U), np.cumsum(mix(tokens ^ U(salt + seed)))])
-        out.append(mix(t[off[1:]] - t[off[:-1]] + np.diff(off).astype(U) * U(0x9FB21C651E98DF25)))
-    return out[0].view(np.int64), out[1].view(np.int64)
+def set_id(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set."""
+    t = np.concatenate([np.zeros(1, U), np.cumsum(mix(tokens ^ U(0x8CB92BA72F3D8DD7)))])
+    return mix(t[off[1:]] - t[off[:-1]] + np.diff(off).astype(U) * U(0x9FB21C651E98DF25)).view(np.int64)
 
 
 def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
@@ -223,21 +229,21 @@ def _token_sets(col, k: int, seed: int) -> list[np.ndarray]:
     buf, off = string_bytes(col)
     out = []
     for i, j in chunks(off, CHUNK):
-        t, o = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, seed)
+        t, _, o = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, seed)
         out += [t[x:y] for x, y in zip(o, o[1:], strict=False)]
     return out
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """(id, h, n, s1, s2, keys) of each row (id, text, h); h tells texts of one id apart."""
+    """(id, h, n, s1, s2, keys) of each row (id, text, h); h tells texts of one id apart. s1 and s2 are digests of the set that
+    share no hash of any word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = string_bytes(b.column(1))
             for i, j in chunks(off, CHUNK):
-                t, o = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, seed)
-                s1, s2 = set_ids(t, o, seed)
-                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(o)), pa.array(s1), pa.array(s2)]
+                t, t2, o = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, seed, True)
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(o)), pa.array(set_id(t, o)), pa.array(set_id(t2, o))]
                 for keys, ko, spare in segment_keys(t, o, num, den):
                     cols += [pa.ListArray.from_arrays(pa.array(ko.astype(np.int32)), pa.array(keys.view(np.int64))), pa.array(spare)]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "n", "s1", "s2", "keys0", "spare0", "keys1", "spare1"])
@@ -245,160 +251,254 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, s1 long, s2 long, keys0 array<long>, spare0 long, keys1 array<long>, spare1 long")
 
 
-def _open_groups(rows: DataFrame, k: int, num: int, den: int, seed: int, pairs: bool) -> DataFrame:
-    """rows (fam, g1, g2, s1, side, text) -> links (a, b), sorted and dealt by (fam, g1, g2). Within a group (pairs False), or
-    between side 0 and side 1."""
-    names = ["a", "b"]
+def _by_group(rows: DataFrame, one, schema: str) -> DataFrame:
+    """rows (g, salt, side, s1, text, tokens), dealt by (g, salt), each with its sides in order; one(table) gives the columns of
+    schema, long numbers."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for t in _grouped(batches, 3):
-            sets = _token_sets(t.column(5), k, seed)
-            flat = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            s1, _ = set_ids(np.concatenate(sets) if sets else np.zeros(0, U), flat, seed)
-            want, side = t.column(3).to_numpy(), t.column(4).to_numpy()
-            # Ids that are repeated with other texts bring rows that are not meant; equal sets come once.
-            good = np.flatnonzero(s1 == want)
-            _, one = np.unique(np.stack([want[good], side[good]]), axis=1, return_index=True)
-            good = good[one]
-            if pairs:
-                a, b = good[side[good] == 0], good[side[good] == 1]
-                found = [(a[i], b[j]) for i, j in links([sets[i] for i in a], [sets[i] for i in b], num, den)] if len(a) and len(b) else []
-            else:
-                found = [(good[i], good[j]) for i, j in links([sets[i] for i in good], None, num, den)]
-            # A spanning forest of the links says as much about classes as all of them.
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for i, j in found:
-                x, y = find(int(want[i])), find(int(want[j]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out.append((int(want[i]), int(want[j])))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
-
-    dealt = rows.select("fam", "g1", "g2", "s1", "side", "text").repartition("fam", "g1", "g2").sortWithinPartitions("fam", "g1", "g2")
-    return map_arrow(dealt, run, "a long, b long")
+        for t in _grouped(batches, 2):
+            cols = one(t)
+            if len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in cols], names=names)
 
+    dealt = rows.select("g", "salt", "side", "s1", "text", "tokens").repartition("g", "salt").sortWithinPartitions("g", "salt", "side")
+    return map_arrow(dealt, run, schema)
 
-def jaccard_classes(
-    docs: DataFrame, words: int = 5, threshold: float | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """One row for each row of docs: id_col, h, n_shingles, component_id.
 
-    Two texts link when the Jaccard similarity of their sets of `words`-word shingles (A-Z folded to a-z) is threshold or more;
-    component_id is the least id that links reach, itself included. A text of fewer words is one shingle, its whole sequence; a
-    text without words, or null, has no shingle and links with nothing, so its component_id is its own id. h is a hash of the
-    text. A null id counts as none: it is never a component's id unless all of its members are null. Repeated rows get one row
-    each. An empty table gives no rows. Other columns are ignored. Exact but for 64-bit hashes of shingles; two different sets
-    with equal digests are found out and the run starts again under another seed.
-    """
-    t = Fraction(threshold).limit_denominator(1000)
-    num, den = t.numerator, t.denominator
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("h", F.xxhash64("text"))
+def _meant(t: pa.Table, k: int, seed: int, side: int) -> tuple[list[np.ndarray], list[int]]:
+    """(sets, digests) of one side's rows. Ids that are repeated with other texts bring rows that are not meant; equal sets come once."""
+    rows = t.filter(pc.equal(t.column("side"), side))
+    sets = _token_sets(rows.column("text"), k, seed) if rows.num_rows else []
+    flat = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    got = set_id(np.concatenate(sets), flat) if sets else np.zeros(0, np.int64)
+    good = np.flatnonzero(got == rows.column("s1").to_numpy())
+    _, one = np.unique(got[good], return_index=True)
+    good = good[one]
+    return [sets[i] for i in good], [int(x) for x in got[good]]
+
+
+def _open(rows: DataFrame, k: int, num: int, den: int, seed: int, pairs: bool) -> DataFrame:
+    """Links (a, b) between sets of side 0, or with pairs between sets of side 1 and of side 0: of each group a spanning forest,
+    which says as much about classes as all of them."""
+
+    def one(t: pa.Table) -> list[list[int]]:
+        (a, x), (b, y) = _meant(t, k, seed, 0), _meant(t, k, seed, 1) if pairs else (None, [])
+        found = links(a, b, num, den) if len(a) and (not pairs or len(b)) else []
+        other = y if pairs else x
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        out: list[list[int]] = [[], []]
+        for i, j in found:
+            p, q = find(x[i]), find(other[j])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out[0].append(x[i])
+                out[1].append(other[j])
+        return out
+
+    return _by_group(rows, one, "a long, b long")
+
+
+def _unions(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """The matrix: (g, tokens), each group's token union."""
+
+    def one(t: pa.Table) -> list:
+        sets, _ = _meant(t, k, seed, 0)
+        u = np.unique(np.concatenate(sets)) if sets else np.zeros(0, U)
+        return [pa.array([t.column("g")[0].as_py()]), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u.view(np.int64)))]
+
+    return _by_group(rows, one, "g long, tokens array<long>")
+
+
+def _bound(rows: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
+    """(s1, g) of the sets of side 1 whose overlap with the union of side 0 lets them link with a member."""
+
+    def one(t: pa.Table) -> list:
+        union = t.column("tokens")[0].values  # of side 0, which comes first
+        u = np.zeros(0, U) if union is None else union.to_numpy().view(U)
+        sets, ids = _meant(t, k, seed, 1)
+        keep = [i for s, i in zip(sets, ids, strict=True) if np.isin(s, u, assume_unique=True).sum() * den >= len(s) * num]
+        return [keep, [t.column("g")[0].as_py()] * len(keep)]
+
+    return _by_group(rows, one, "s1 long, g long")
+
+
+def _with_text(d: DataFrame, rows: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFrame:
+    """rows (id, g, salt, side, s1) with the text of their id. The ids are broadcast if they are few; else texts are dealt by id."""
+    rows = scratch.table(rows.select(F.col("id").alias("i"), "g", "salt", "side", "s1"), "members")
+    side = F.broadcast(rows) if small(rows, broadcast_rows) else rows
+    return d.select("id", "text").join(side, F.col("id").eqNullSafe(F.col("i"))).select("g", "salt", "side", "s1", "text", F.lit(None).cast("array<long>").alias("tokens"))
+
+
+def _digests(d: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(sets, classes of equal sets, seed). Different sets of one digest differ in the other one: then another seed is taken."""
     for seed in range(1, SEEDS + 1):
-        sets = persist_table(_sets(d, words, num, den, seed), "sets")
+        sets = scratch.table(_sets(d, words, num, den, seed), "sets")
         classes = sets.where("n > 0").groupBy("s1").agg(F.min("id").alias("id"), F.min("s2").alias("lo"), F.max("s2").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-        classes = persist_table(classes, "classes")
+        classes = scratch.table(classes, "classes")
         if not classes.where("lo <> hi").limit(1).count():
-            break
-    else:
-        raise RuntimeError("digests of different sets stay equal")
+            return sets, classes, seed
+    raise RuntimeError("digests of different sets stay equal")
+
 
-    # Families: sets that agree on a segment.
+def _followed(sets: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFrame:
+    """(s1, k, a) of the segments that sets share with others; a is the least set of segment k. Linked sets share one of these."""
     part = lambda d: sets.where("n > 0").select("s1", F.lit(d).alias("down"), F.col(f"spare{d}").alias("spare"), F.explode(f"keys{d}").alias("k"))
     keys = part(0).unionByName(part(1))
     shared = keys.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    shared = persist_table(shared.select("k", F.col("lo").alias("a"), (F.col("c") >= COMMON).alias("common")), "segments")
+    shared = scratch.table(shared.select("k", F.col("lo").alias("a"), (F.col("c") >= COMMON).alias("common")), "segments")
     # Beyond the bound both sides are dealt by segment; adaptive execution splits the segments of many copies.
     side = F.broadcast(shared) if small(shared, min(SEGMENT_ROWS, 4 * broadcast_rows)) else shared
-    star = keys.join(side, "k").where("s1 <> a").select("s1", "down", "spare", "k", "a", "common").distinct()
-    star = persist_table(star, "segments")
+    star = scratch.table(keys.join(side, "k").select("s1", "down", "spare", "k", "a", "common").distinct(), "segments")
     # Passages that many texts share fill whole segments. A set that agrees on more segments with whatever it links with than it
     # has common ones agrees on one that is not common, so its common ones need not be followed.
-    common = star.where("common").groupBy("s1", "down", "spare").agg(F.count(F.lit(1)).alias("h")).where("h < spare").select(F.col("s1").alias("x"), F.col("down").alias("y"))
-    star = star.join(common, (F.col("s1") == F.col("x")) & (F.col("down") == F.col("y")), "left").where("not common or x is null").select("a", F.col("s1").alias("b")).distinct()
-    fam = connected_components(star, broadcast_rows).select(F.col("v").alias("s1"), F.col("label").alias("fam"))
+    rich = star.where("common").groupBy("s1", "down", "spare").agg(F.count(F.lit(1)).alias("h")).where("h < spare").select(F.col("s1").alias("x"), F.col("down").alias("y"))
+    out = star.join(rich, (F.col("s1") == F.col("x")) & (F.col("down") == F.col("y")), "left").where("not common or x is null").select("s1", "k", "a").distinct()
+    return scratch.table(out, "followed")
+
 
-    # Groups: families in pieces of similar size.
+def _families(followed: DataFrame, classes: DataFrame, num: int, den: int, group: int, broadcast_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Sets (s1, id, n, fam, large, cls, g) and, of large families, the groups (fam, cls, g, parts, lead): pieces of similar size."""
+    fam = connected_components(followed.where("s1 <> a").select("a", F.col("s1").alias("b")).distinct(), broadcast_rows).select(F.col("v").alias("s1"), F.col("label").alias("fam"))
     fam = fam.join(classes.select("s1", "id", "n"), "s1")
     total = fam.groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
-    fam = persist_table(join_small(fam, persist_table(total, "families"), ["fam"], "inner", F.col("s1"), rows=broadcast_rows), "families")
+    fam = scratch.table(join_small(fam, scratch.table(total, "families"), ["fam"], "inner", F.col("s1"), rows=broadcast_rows), "families")
     large = (F.col("m") > group) | (F.col("tokens") > GROUP_TOKENS)
     low = [x for x, _, _ in spaces(num, den, 1 << 40)]
     cls = F.when(large, F.array_size(F.filter(F.array(*[F.lit(x).cast("long") for x in low]), lambda x: x <= F.col("n")))).otherwise(0)
     fam = fam.withColumn("cls", cls.cast("int"))
     pieces = fam.groupBy("fam", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long").alias("parts"), F.min("s1").alias("lead"))
-    pieces = persist_table(pieces, "groups")
+    pieces = scratch.table(pieces, "groups")
     fam = join_small(fam, pieces, ["fam", "cls"], "inner", F.col("s1"), rows=broadcast_rows)
-    fam = persist_table(fam.select("s1", "id", "fam", "m", large.alias("large"), "cls", "lead", "parts", F.pmod(F.xxhash64("s1"), F.col("parts")).alias("piece")), "groups")
+    return scratch.table(fam.select("s1", "id", "n", "fam", large.alias("large"), "cls", _gid(F.pmod(F.xxhash64("s1"), F.col("parts")))), "groups"), pieces
 
-    # Round one: each group by itself, with the leader of its class and of the next one, so that a family of near copies in many
-    # groups becomes one class at once.
-    gid = lambda c, p: (c.cast("long") * F.lit(1 << 32) + p).alias("g1")
-    own = fam.select("id", "s1", "fam", gid(F.col("cls"), F.col("piece")))
-    # Leaders go to all groups of their class and of the one below.
+
+def _gid(piece) -> Column:
+    return F.xxhash64("fam", "cls", piece.cast("long")).alias("g")
+
+
+def _first_round(fam: DataFrame, pieces: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each group by itself, with the leader of its size class and of the next one, so that a family of near copies in many groups
+    becomes one class at once."""
     lead = pieces.where("cls > 0").select("fam", "lead", F.explode(F.array("cls", F.col("cls") - 1)).alias("cls")).join(pieces.select("fam", "cls", "parts"), ["fam", "cls"])
-    lead = lead.where("cls > 0").select(F.col("lead").alias("s1"), "fam", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
-    lead = lead.join(classes.select("s1", "id"), "s1").select("id", "s1", "fam", gid(F.col("cls"), F.col("p")))
-    one = own.unionByName(lead).distinct().withColumn("g2", F.col("g1")).withColumn("side", F.lit(0))
-    first = persist_table(_open_groups(_with_text(d, one, broadcast_rows), words, num, den, seed, False), "found")
-    found = first
+    lead = lead.where("cls > 0").select(F.col("lead").alias("s1"), "fam", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")).select("s1", _gid(F.col("p")))
+    lead = lead.join(classes.select("s1", "id"), "s1")
+    return fam.select("id", "s1", "g").unionByName(lead.select("id", "s1", "g")).distinct().withColumns({"salt": F.lit(0), "side": F.lit(0)})
+
+
+def _second_groups(big: DataFrame, first: DataFrame, group: int, broadcast_rows: int, scratch: Scratch) -> DataFrame:
+    """The sets of large families, (s1, id, label, g, lo, hi), in groups by the class (label) that they have reached: large classes
+    in groups of their own, small ones together. lo and hi are the least and largest label in the group."""
+    lab = connected_components(first, broadcast_rows)
+    big = join_small(big.select("s1", "id", "n", "fam", "cls"), lab.withColumnRenamed("v", "s1"), ["s1"], "left", F.col("s1"), rows=broadcast_rows)
+    big = scratch.table(big.withColumn("label", F.coalesce("label", "s1")), "large")
+    size = big.groupBy("fam", "cls", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
+    alone = (F.col("m") > group / 2) | (F.col("tokens") > GROUP_TOKENS / 2)
+    parts = lambda m, tokens, room: F.greatest(F.ceil(m / (group * room)), F.ceil(tokens / (GROUP_TOKENS * room)), F.lit(1)).cast("long")
+    rest = size.where(~alone).groupBy("fam", "cls").agg(parts(F.sum("m"), F.sum("tokens"), 0.5).alias("rest"))
+    size = size.select("fam", "cls", "label", alone.alias("alone"), parts(F.col("m"), F.col("tokens"), 1).alias("parts"))
+    big = join_small(big, scratch.table(size, "large"), ["fam", "cls", "label"], "inner", F.col("s1"), rows=broadcast_rows)
+    big = join_small(big, scratch.table(rest, "large"), ["fam", "cls"], "left", F.col("s1"), rows=broadcast_rows)
+    g = F.when(F.col("alone"), F.xxhash64("fam", "cls", "label", F.pmod(F.xxhash64("s1"), F.col("parts")))).otherwise(F.xxhash64("fam", "cls", F.pmod(F.xxhash64("label"), F.col("rest"))))
+    big = scratch.table(big.select("s1", "id", "cls", "label", g.alias("g")), "large")
+    ends = scratch.table(big.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "large")
+    return scratch.table(join_small(big, ends, ["g"], "inner", F.col("s1"), rows=broadcast_rows), "large")
+
+
+def _candidates(big: DataFrame, followed: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFrame:
+    """(s1, g): sets of large families and the groups of another class, or of several, that hold a set with which they agree on a
+    segment; of a pair of groups one side only."""
+    f = scratch.table(join_small(followed.select("s1", "k"), big.withColumnsRenamed({"g": "own", "cls": "c"}), ["s1"], "inner", F.col("k"), rows=broadcast_rows), "agreed")
+    held = f.select("k", F.col("own").alias("g"), "c", "lo", "hi").distinct()
+    # By classes first: segments within one class are settled, however many sets agree on them.
+    who = f.select(F.col("k").alias("k2"), F.col("label").alias("l2"), F.col("own").alias("own2"), F.col("c").alias("c2")).distinct()
+    open_ = ~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("l2")))
+    once = (F.col("c2") > F.col("c")) | ((F.col("c2") == F.col("c")) & (F.col("own2") >= F.col("g")))
+    pairs = scratch.table(who.join(held, F.col("k2") == F.col("k")).where(open_ & once).select("k2", "l2", "own2", "g").distinct(), "agreed")
+    same = (F.col("k") == F.col("k2")) & (F.col("label") == F.col("l2")) & (F.col("own") == F.col("own2"))
+    side = F.broadcast(pairs) if small(pairs, broadcast_rows) else pairs
+    return scratch.table(f.join(side, same).select("s1", "id", "g").distinct(), "candidates")
+
+
+def _salted(pairs: DataFrame, other: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFrame:
+    """Rows (id, g, salt, side, s1): pairs (s1, id, g) as side 1, QUERIES of a group in a task or so, and the rows of other (s1, id,
+    g) whose group is in pairs as side 0, once for each task."""
+    n = scratch.table(pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("tasks")), "tasks")
+    q = join_small(pairs, n, ["g"], "inner", F.col("s1"), rows=broadcast_rows).select("id", "g", F.pmod(F.xxhash64("s1"), F.col("tasks")).cast("int").alias("salt"), F.lit(1).alias("side"), "s1")
+    o = join_small(other, n, ["g"], "inner", F.col("s1"), rows=broadcast_rows).select("id", "g", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(0).alias("side"), "s1")
+    return q.unionByName(o)
 
-    # Round two: pairs of groups of large families, but for those whose members are one class already.
-    big = fam.where("large")
-    if big.limit(1).count():
-        lab = connected_components(first, broadcast_rows)
-        big = persist_table(join_small(big, lab.withColumnRenamed("v", "s1"), ["s1"], "left", F.col("s1"), rows=broadcast_rows).withColumn("label", F.coalesce("label", "s1")), "large")
-        g = big.groupBy("fam", "cls", "piece").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        g = persist_table(g, "large")
-        x, y = g.select("fam", *[F.col(c).alias(f"{c}1") for c in ("cls", "piece", "lo", "hi")]), g.select(F.col("fam").alias("fam2"), *[F.col(c).alias(f"{c}2") for c in ("cls", "piece", "lo", "hi")])
-        near = (F.col("cls2") == F.col("cls1") + 1) | ((F.col("cls2") == F.col("cls1")) & (F.col("piece2") > F.col("piece1")))
-        one_class = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
-        todo = x.join(y, (F.col("fam") == F.col("fam2")) & near & ~one_class).select("fam", gid(F.col("cls1"), F.col("piece1")), gid(F.col("cls2"), F.col("piece2")).alias("g2"))
-        todo = persist_table(todo, "pairs")
+
+def jaccard_classes(
+    docs: DataFrame, words: int = 5, threshold: float | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """One row for each row of docs: id_col, h, n_shingles, component_id.
+
+    Two texts link when the Jaccard similarity of their sets of `words`-word shingles (A-Z folded to a-z) is threshold or more;
+    component_id is the least id that links reach, itself included. A text of fewer words is one shingle, its whole sequence; a
+    text without words, or null, has no shingle and links with nothing, so its component_id is its own id. Texts are read whole,
+    however long. h is a hash of the text. A null id counts as none: it is never a component's id unless all of its members are
+    null. Repeated rows get one row each. An empty table gives no rows. Other columns are ignored, whatever their names. Exact but
+    for hashes of shingles, 64 bits within one pair of texts; different sets of one digest are found out by a second digest, made
+    from other hashes of the words, and the run starts again under another seed (SEEDS times, then it fails).
+    """
+    t = Fraction(threshold).limit_denominator(1000)
+    num, den = t.numerator, t.denominator
+    scratch = Scratch(docs.sparkSession)
+    d = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    d = d.withColumn("h", F.xxhash64("text"))
+    sets, classes, seed = _digests(d, words, num, den, scratch)
+    followed = _followed(sets, broadcast_rows, scratch)
+    fam, pieces = _families(followed, classes, num, den, group, broadcast_rows, scratch)
+    first = scratch.table(_open(_with_text(d, _first_round(fam, pieces, classes), broadcast_rows, scratch), words, num, den, seed, False), "found")
+    found = first
+    large = fam.where("large")
+    if large.limit(1).count():
+        big = _second_groups(large, first, group, broadcast_rows, scratch)
+        todo = _candidates(big, followed, broadcast_rows, scratch)
         if todo.limit(1).count():
-            who = big.select("id", "s1", "fam", gid(F.col("cls"), F.col("piece")).alias("g"))
-            two = None
-            for side, c in ((0, "g1"), (1, "g2")):
-                r = todo.join(who, (todo["fam"] == who["fam"]) & (todo[c] == who["g"])).select(who["id"], who["s1"], todo["fam"], "g1", "g2", F.lit(side).alias("side"))
-                two = r if two is None else two.unionByName(r)
-            found = first.unionByName(persist_table(_open_groups(_with_text(d, two, broadcast_rows), words, num, den, seed, True), "found"))
+            member = big.select("s1", "id", "g")
+            asked = scratch.table(todo.select("g").distinct(), "asked")
+            needed = join_small(member, asked, ["g"], "inner", F.col("s1"), rows=broadcast_rows).withColumns({"salt": F.lit(0), "side": F.lit(0)})
+            matrix = scratch.table(_unions(_with_text(d, needed, broadcast_rows, scratch), words, seed), "matrix")
+            queries = _salted(todo, matrix.select(F.lit(0).cast("long").alias("s1"), F.lit(None).cast(d.schema["id"].dataType).alias("id"), "g"), broadcast_rows, scratch)
+            unions = queries.where("side = 0").select("g", "salt").join(matrix, "g").select("g", "salt", F.lit(0).alias("side"), F.lit(0).cast("long").alias("s1"), F.lit(None).cast("string").alias("text"), "tokens")
+            passed = scratch.table(_bound(_with_text(d, queries.where("side = 1"), broadcast_rows, scratch).unionByName(unions), words, num, den, seed).distinct(), "passed")
+            passed = join_small(passed, classes.select("s1", "id"), ["s1"], "inner", F.col("g"), rows=broadcast_rows)
+            opened = _salted(scratch.table(passed.select("s1", "id", "g"), "passed"), member, broadcast_rows, scratch)
+            second = scratch.table(_open(_with_text(d, opened, broadcast_rows, scratch), words, num, den, seed, True), "found")
+            found = first.unionByName(second)
 
     lab = connected_components(found, broadcast_rows).withColumnRenamed("v", "s1")
     known = classes.join(lab, "s1", "left").withColumn("root", F.coalesce("label", "s1"))
     least = known.where("label is not null").groupBy("root").agg(F.min("id").alias("least"))
     tell = known.where("label is not null or c > 1").select("s1", "root", F.col("id").alias("own")).join(least, "root", "left").select("s1", F.coalesce("least", "own").alias("component_id"))
-    tell = persist_table(tell, "classes")
-    out = join_small(sets.select("id", "h", "n", "s1"), tell, ["s1"], "left", F.hash("id", "h"), rows=broadcast_rows)
+    tell = scratch.table(tell, "classes")
+    sets_out = scratch.table(sets.select("id", "h", "n", "s1"), "sets")
+    scratch.drop(sets_out, tell)
+    out = join_small(sets_out, tell, ["s1"], "left", F.hash("id", "h"), rows=broadcast_rows)
     return out.select(F.col("id").alias(id_col), "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _with_text(d: DataFrame, rows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """rows with the text of their id. The ids are broadcast if they are few; else texts are dealt by id."""
-    rows = persist_table(rows, "members").select(F.col("id").alias("i"), "fam", "g1", "g2", "s1", "side")
-    side = F.broadcast(rows) if small(rows, broadcast_rows) else rows
-    return d.select("id", "text").join(side, F.col("id").eqNullSafe(F.col("i"))).select("fam", "g1", "g2", "s1", "side", "text")
-
-
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with one document of each class, that of the least id, all columns as they came. Documents without words, and those
-    whose component_id is null, stay; rows that repeat the least id stay all."""
+    """docs with one document of each class, that of the least id, all columns as they came, whatever their names. Documents without
+    words (null, empty), and those whose component_id is null, stay; rows that repeat the least id stay all; very long texts and an
+    empty table as in jaccard_classes."""
+    scratch = Scratch(docs.sparkSession)
     c = jaccard_classes(docs, words, threshold, id_col, text_col, broadcast_rows=broadcast_rows)
-    gone = persist_table(c.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col("h").alias("__h")).distinct(), "near")
-    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    gone = c.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col(quoted(id_col)))).select(F.col(quoted(id_col)).alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    gone = scratch.table(gone, "near")
+    d = wrap(docs, id=F.col(quoted(id_col)), h=F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))))
     side = F.broadcast(gone) if small(gone, broadcast_rows) else gone
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_anti")
+    return unwrap(d.join(side, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class, at three words and 0.9. Null and empty texts link with nothing; see jaccard_classes."""
     return jaccard_classes(table(spark, sf_dir, "documents"), 3, Fraction(9, 10)).drop("h")
