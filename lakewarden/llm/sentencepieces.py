@@ -2,9 +2,10 @@
 
 For each character position the search keeps one backpointer, to the start of the last piece of the best segmentation up to it.
 Only positions within the longest piece's length can still be reached, so when the backpointer paths of all of them run through
-one boundary, everything before it is final: its ids are committed and the window moves on. Memory is bounded by the longest
-piece, not by the text. Between two characters that no piece holds side by side all paths meet at once; stretches between such
-points are searched once a task and remembered.
+one boundary, everything before it is final: its ids are committed and the window moves on. The search holds a few times the
+longest piece's length of backpointers, whatever the text's length; the text and its ids are held as long as they are, as any row
+is. Between two characters that no piece holds side by side all paths meet at once; what the search says of the stretches between
+such points is remembered by each task, within bounds.
 
 Unigram models take the segmentation of the greatest score. BPE models have one segmentation for each prefix; the last piece of
 it is the only one that, joined to the last piece of what precedes it, is left as it is by the merges, so the same search finds
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_arrow, table
+from .common import fresh, map_arrow, quoted, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -180,103 +182,90 @@ class Search:
             else:
                 return True
 
-    def segments(self, text: str) -> Iterator[str]:
-        """The pieces of a stretch, in order, each as soon as it is certain."""
-        ids, longest, bpe, pieces = self.m.ids, self.m.longest, self.m.bpe, self.m.pieces
-        base, back, score = 0, [0], [0.0]  # position base + i: start of its last piece, relative to the text
-        unknown = self.m.least - 10
+    def string(self, x: int) -> str:
+        """The piece or unknown character x of a path."""
+        size = len(self.m.pieces)
+        return self.m.pieces[x][0] if x < size else "" if x == size else chr(x - size - 1)
+
+    def segments(self, text: str) -> Iterator[list[int]]:
+        """The pieces of a stretch in order, each as soon as it is certain; unknown characters by len(pieces) + 1 + code point."""
+        size, longest, get, bpe = len(self.m.pieces), self.m.longest, self.m.ids.get, self.m.bpe
+        tails, fits, room = self.tails, self.fit_ids, 4 * longest + 2
+        # Of position base + i: start and id of its last piece, and for unigram models the score.
+        base, back, last, score = 0, [0], [size], [0.0]
         for end in range(1, len(text) + 1):
-            found, top = end - 1, -1e30
-            for start in range(max(base, end - longest), end):
-                p = text[start:end]
-                k = ids.get(p)
-                if bpe:
-                    if k is None and end - start > 1:
+            if bpe:  # the one last piece that the merges leave in text[:end]
+                start, x = end - 1, -1
+                for k in (*tails.get(text[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
+                    if (at := end - k) < base:
                         continue
-                    if self.compatible(text[back[start - base] : start] if start else "", p):
-                        found = start
-                        break
-                else:
-                    if k is None:
-                        if end - start > 1:
+                    if (y := get(text[at:end])) is None:
+                        if k > 1:
                             continue
-                        s = unknown
+                        y = size + 1 + ord(text[at])
+                    before = last[at - base]
+                    if (ok := fits.get(before << 22 | y)) is None:
+                        if len(fits) > 2 * MEMORY:
+                            fits.clear()
+                        ok = fits[before << 22 | y] = self.compatible(self.string(before), text[at:end])
+                    if ok:
+                        start, x = at, y
+                        break
+                if x < 0:
+                    x = get(text[start], size + 1 + ord(text[start]))
+            else:  # the last piece of the segmentation of text[:end] of the greatest score
+                start, x, top = end - 1, size + 1 + ord(text[end - 1]), -1e30
+                for at in range(max(base, end - longest), end):
+                    if (y := get(text[at:end])) is not None:
+                        s = self.m.pieces[y][1] if self.m.pieces[y][2] != USER else longest * 10.0
+                    elif end - at == 1:
+                        y, s = size + 1 + ord(text[at]), self.m.least - 10
                     else:
-                        s = pieces[k][1] if pieces[k][2] != USER else longest * 10.0
-                    if score[start - base] + s > top:
-                        found, top = start, score[start - base] + s
-            back.append(found)
-            score.append(top)
-            self.widest = max(self.widest, len(back))
-            if len(back) > 4 * longest + 2:
+                        continue
+                    if score[at - base] + s > top:
+                        start, x, top = at, y, score[at - base] + s
+                score.append(top)
+            back.append(start)
+            last.append(x)
+            if end - base > room:
+                self.widest = max(self.widest, len(back))
                 # All paths that can still grow start at the last `longest` positions; where they meet, the past is certain.
                 live = set(range(end - longest + 1, end + 1))
                 while len(live) > 1:
-                    x = max(live)
-                    live.discard(x)
+                    live.discard(x := max(live))
                     live.add(back[x - base] if x > base else base)
                 meet = live.pop()
                 if meet > base:
-                    yield from self._walk(text, back, base, meet)
-                    back, score = back[meet - base :], score[meet - base :]
-                    back[0] = back[0] if bpe else meet
+                    yield self._walk(back, last, base, meet)
+                    back, last, score = back[meet - base :], last[meet - base :], score[meet - base :]
                     base = meet
-        yield from self._walk(text, back, base, len(text))
+        self.widest = max(self.widest, len(back))
+        yield self._walk(back, last, base, len(text))
 
     @staticmethod
-    def _walk(text: str, back: list[int], base: int, end: int) -> list[str]:
+    def _walk(back: list[int], last: list[int], base: int, end: int) -> list[int]:
         out = []
         while end > base:
-            start = back[end - base]
-            out.append(text[start:end])
-            end = start
-        return out[::-1]
-
-    def _short(self, text: str) -> list[int] | None:
-        """The same search for a stretch that fits into the window, of a BPE model; None if it holds an unknown character."""
-        get, tails, fits, pieces = self.m.ids.get, self.tails, self.fit_ids, self.m.pieces
-        n, size = len(text), len(pieces)
-        back, last = [0] * (n + 1), [size] * (n + 1)  # start and id of the last piece up to each position
-        for end in range(1, n + 1):
-            three = text[end - 3 : end] if end > 2 else ""
-            for lengths in (tails.get(three, ()), (2, 1)):
-                for k in lengths:
-                    start = end - k
-                    if start < 0 or (x := get(text[start:end])) is None:
-                        continue
-                    key = last[start] * size + x
-                    if (ok := fits.get(key)) is None:
-                        if len(fits) > 2 * MEMORY:
-                            fits.clear()
-                        ok = fits[key] = self.compatible(text[back[start] : start], text[start:end])
-                    if ok:
-                        back[end], last[end] = start, x
-                        break
-                else:
-                    continue
-                break
-            else:
-                return None
-        self.widest = max(self.widest, n + 1)
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
+            out.append(last[end - base])
+            end = back[end - base]
         return out[::-1]
 
     def ids_of(self, stretch: str) -> bytes:
-        if self.m.bpe and len(stretch) <= 4 * self.m.longest and (short := self._short(stretch)) is not None:
-            return np.array(short, np.int32).tobytes()
-        out: list[int] = []
-        for p in self.segments(stretch):
-            k = self.m.ids.get(p)
-            if k is not None:
-                out.append(k)
-            elif self.m.byte_fallback:
-                out += [self.m.bytes[b] for b in p.encode()]
-            elif not out or out[-1] != self.m.unk:  # unknown neighbours are one
-                out.append(self.m.unk)
-        return np.array(out, np.int32).tobytes()
+        size, out, unknown = len(self.m.pieces), array("i"), False
+        for run in self.segments(stretch):
+            if max(run, default=0) < size:
+                out.extend(run)
+                unknown = unknown and not run
+                continue
+            for x in run:
+                if x < size:
+                    out.append(x)
+                elif self.m.byte_fallback:
+                    out.extend([self.m.bytes[b] for b in chr(x - size - 1).encode()])
+                elif not unknown:  # unknown neighbours are one
+                    out.append(self.m.unk)
+                unknown = x >= size
+        return out.tobytes()
 
     def _parted(self, stretch: str) -> bytes:
         """A stretch cut where no piece holds both neighbours."""
@@ -302,8 +291,9 @@ class Search:
         text = text.replace(" ", SPACE)
         if self.m.prefix:
             text = SPACE + text
-        memory, out = self.memory, []
-        for s in self.stretch.findall(text):
+        memory, out = self.memory, bytearray()
+        for found in self.stretch.finditer(text):
+            s = found[0]
             if (x := memory.get(s)) is None:
                 if (x := self.older.get(s)) is None:
                     x = self._parted(s)
@@ -312,8 +302,8 @@ class Search:
                         self.older, memory = memory, {}
                         self.memory = memory
                     memory[s] = x
-            out.append(x)
-        return np.frombuffer(b"".join(out), np.int32)
+            out += x
+        return np.frombuffer(bytes(out), np.int32)
 
 
 class Decoder:
@@ -333,7 +323,8 @@ def _search(path: str, data: bytes) -> Search:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", check: bool = False) -> DataFrame:
-    """docs with a column piece_ids (underscored where taken), array<int>; with check also a struct column piece_check: the
+    """docs with a column piece_ids (underscored where taken), array<int>, all other columns as they came, whatever their names; with
+    check also a struct column piece_check: the
     SHA-256 of the decoded text, and whether it equals the text (a text that holds the space mark itself, or is trimmed by the
     model, does not come back). A null or empty text has no ids; very long ones are searched in a bounded window; repeated
     rows alike; an empty table gives no rows. The model file is read by the driver and sent to the tasks."""
@@ -358,13 +349,15 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", che
                     cols.append(pa.StructArray.from_arrays([pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([t == u for t, u in zip(back, texts, strict=True)])], ["sha256", "same"]))
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text_col).cast("string").alias(fresh(docs, "piece_text")[0]))
+    wide = docs.select(*[F.col(quoted(c)) for c in docs.columns], F.col(quoted(text_col)).cast("string").alias(fresh(docs, "piece_text")[0]))
     kinds = ["array<int>", "struct<sha256:string,same:boolean>"]
     return map_arrow(wide, run, T.StructType([*docs.schema, *(T.StructField(c, T.DataType.fromDDL(k)) for c, k in zip(names, kinds, strict=False))]))
 
 
 def decode(rows: DataFrame, model_path: str = MODEL, ids_col: str = "piece_ids") -> DataFrame:
-    """rows with a string column piece_text (underscored where taken), the text of the ids; null ids give an empty text."""
+    """rows with a string column piece_text (underscored where taken), the text of the ids, all other columns as they
+    came. Null or no ids give an empty text, a null among the ids nothing; bytes that are no UTF-8 become U+FFFD; very long rows are
+    decoded whole, repeated rows alike; an empty table gives no rows."""
     held = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     (name,) = fresh(rows, "piece_text")
     n, columns = len(rows.columns), [*rows.columns, name]
@@ -372,13 +365,14 @@ def decode(rows: DataFrame, model_path: str = MODEL, ids_col: str = "piece_ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(_search(model_path, held.value).m)
         for b in batches:
-            text = [decoder.decode(np.array(i or [], np.int32)) for i in b.column(n).to_pylist()]
+            text = [decoder.decode(np.array([x for x in i or [] if x is not None], np.int32)) for i in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(text, pa.string())], names=columns)
 
-    wide = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(ids_col).alias(name))
+    wide = rows.select(*[F.col(quoted(c)) for c in rows.columns], F.col(quoted(ids_col)).alias(name))
     return map_arrow(wide, run, T.StructType([*rows.schema, T.StructField(name, T.StringType())]))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, with the round trip. Null and empty texts have none; see encode."""
     d = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
     return d.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_ids"), F.col("piece_check.sha256").alias("decoded_sha256"), F.col("piece_check.same").alias("round_trip"))
