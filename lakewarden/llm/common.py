@@ -90,10 +90,6 @@ class Scratch:
             del self.paths[path]
 
 
-def persist_table(df, tag):
-    return Scratch(df.sparkSession).table(df, tag)
-
-
 def wrap(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs as one struct column `row`, beside columns of the operator's own: no name can clash. unwrap() undoes it."""
     row = F.struct(*[F.col(quoted(c)) for c in docs.columns]) if docs.columns else F.struct()
@@ -195,4 +191,5 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(run, schema)
+    # Columns go in by position: a name may hold dots, or be there twice.
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)

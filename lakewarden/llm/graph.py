@@ -62,10 +62,10 @@ def _stars(links: DataFrame, chunk: int) -> DataFrame:
     return map_arrow(links.select("a", "b"), run, "a long, b long")
 
 
-def connected_components(links: DataFrame, broadcast_rows: int = BROADCAST_ROWS, chunk: int = CHUNK_LINKS) -> DataFrame:
+def connected_components(links: DataFrame, broadcast_rows: int = BROADCAST_ROWS, chunk: int = CHUNK_LINKS, into: Scratch | None = None) -> DataFrame:
     """links (a, b) of long ids, neither null -> (v, label): label is the least id of v's component. Ids without a link to
     another are absent. Repeated and reversed links are one; no links give no rows. Links that fit into one chunk are finished in
-    one task; that gives the same rows."""
+    one task; that gives the same rows. The result is a table of `into`, if that is given."""
     scratch = Scratch(links.sparkSession)
     join = lambda d, side, on, how: join_small(d, side, [on], how, F.xxhash64(*d.columns), rows=broadcast_rows)
     levels: list[DataFrame] = []
@@ -88,6 +88,6 @@ def connected_components(links: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
     while levels:  # a node's root is that of the node it was hooked to; one that no later level knows is a root
         root = scratch.table(join(levels.pop(), root.select(F.col("v").alias("up"), F.col("up").alias("root")), "up", "left").select("v", F.coalesce("root", "up").alias("up")), "roots")
     least = scratch.table(root.groupBy("up").agg(F.min("v").alias("label")), "roots")
-    out = scratch.table(join(root, least, "up", "inner").select("v", "label"), "labels")
+    out = (into or scratch).table(join(root, least, "up", "inner").select("v", "label"), "labels")
     scratch.drop(out)
     return out

@@ -251,6 +251,9 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, s1 long, s2 long, keys0 array<long>, spare0 long, keys1 array<long>, spare1 long")
 
 
+ROWS = ["g", "salt", "side", "s1", "text", "tokens"]
+
+
 def _by_group(rows: DataFrame, one, schema: str) -> DataFrame:
     """rows (g, salt, side, s1, text, tokens), dealt by (g, salt), each with its sides in order; one(table) gives the columns of
     schema, long numbers."""
@@ -258,11 +261,11 @@ def _by_group(rows: DataFrame, one, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 2):
-            cols = one(t)
+            cols = one(t.rename_columns(ROWS))
             if len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in cols], names=names)
 
-    dealt = rows.select("g", "salt", "side", "s1", "text", "tokens").repartition("g", "salt").sortWithinPartitions("g", "salt", "side")
+    dealt = rows.select(*ROWS).repartition("g", "salt").sortWithinPartitions("g", "salt", "side")
     return map_arrow(dealt, run, schema)
 
 
@@ -333,7 +336,7 @@ def _with_text(d: DataFrame, rows: DataFrame, broadcast_rows: int, scratch: Scra
     """rows (id, g, salt, side, s1) with the text of their id. The ids are broadcast if they are few; else texts are dealt by id."""
     rows = scratch.table(rows.select(F.col("id").alias("i"), "g", "salt", "side", "s1"), "members")
     side = F.broadcast(rows) if small(rows, broadcast_rows) else rows
-    return d.select("id", "text").join(side, F.col("id").eqNullSafe(F.col("i"))).select("g", "salt", "side", "s1", "text", F.lit(None).cast("array<long>").alias("tokens"))
+    return d.select("id", "text").join(side, F.col("id").eqNullSafe(F.col("i"))).withColumn("tokens", F.lit(None).cast("array<long>")).select(*ROWS)
 
 
 def _digests(d: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
@@ -365,7 +368,7 @@ def _followed(sets: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFra
 
 def _families(followed: DataFrame, classes: DataFrame, num: int, den: int, group: int, broadcast_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Sets (s1, id, n, fam, large, cls, g) and, of large families, the groups (fam, cls, g, parts, lead): pieces of similar size."""
-    fam = connected_components(followed.where("s1 <> a").select("a", F.col("s1").alias("b")).distinct(), broadcast_rows).select(F.col("v").alias("s1"), F.col("label").alias("fam"))
+    fam = connected_components(followed.where("s1 <> a").select("a", F.col("s1").alias("b")).distinct(), broadcast_rows, into=scratch).select(F.col("v").alias("s1"), F.col("label").alias("fam"))
     fam = fam.join(classes.select("s1", "id", "n"), "s1")
     total = fam.groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
     fam = scratch.table(join_small(fam, scratch.table(total, "families"), ["fam"], "inner", F.col("s1"), rows=broadcast_rows), "families")
@@ -395,7 +398,7 @@ def _first_round(fam: DataFrame, pieces: DataFrame, classes: DataFrame) -> DataF
 def _second_groups(big: DataFrame, first: DataFrame, group: int, broadcast_rows: int, scratch: Scratch) -> DataFrame:
     """The sets of large families, (s1, id, label, g, lo, hi), in groups by the class (label) that they have reached: large classes
     in groups of their own, small ones together. lo and hi are the least and largest label in the group."""
-    lab = connected_components(first, broadcast_rows)
+    lab = connected_components(first, broadcast_rows, into=scratch)
     big = join_small(big.select("s1", "id", "n", "fam", "cls"), lab.withColumnRenamed("v", "s1"), ["s1"], "left", F.col("s1"), rows=broadcast_rows)
     big = scratch.table(big.withColumn("label", F.coalesce("label", "s1")), "large")
     size = big.groupBy("fam", "cls", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
@@ -475,7 +478,7 @@ def jaccard_classes(
             second = scratch.table(_open(_with_text(d, opened, broadcast_rows, scratch), words, num, den, seed, True), "found")
             found = first.unionByName(second)
 
-    lab = connected_components(found, broadcast_rows).withColumnRenamed("v", "s1")
+    lab = connected_components(found, broadcast_rows, into=scratch).withColumnRenamed("v", "s1")
     known = classes.join(lab, "s1", "left").withColumn("root", F.coalesce("label", "s1"))
     least = known.where("label is not null").groupBy("root").agg(F.min("id").alias("least"))
     tell = known.where("label is not null or c > 1").select("s1", "root", F.col("id").alias("own")).join(least, "root", "left").select("s1", F.coalesce("least", "own").alias("component_id"))

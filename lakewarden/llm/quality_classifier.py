@@ -199,7 +199,7 @@ def fit_rows(rows: DataFrame, l2: float = L2) -> Model:
 
     def model(w: np.ndarray, prior: float) -> Model:
         # Rounded, so that the order in which tasks end does not show.
-        r = lambda v: tuple(float(f"{x:.9g}") for x in v)
+        r = lambda v: tuple(round(float(x), 9) for x in v)
         return Model(r(mean), r(scale), r(w[:-1]), r(w[-1:])[0], prior)
 
     first, rest = rows.where("half"), rows.where("not half")

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import struct
 from collections import Counter
 from fractions import Fraction
 
@@ -70,15 +72,32 @@ def test_quality_has_its_own_name(docs):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob", None), (1, 2, "bob", None), (2, None, None, "?"), (None, 0, "ann", "a"), (3, 0, "system", "only")]
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob", None), (1, 2, "bob", None), (2, None, None, "?"), (None, 0, "ann", "a"), (3, 0, "system", "only"), (4, 0, "e|>\nvil", "x")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(d, turns_per_row=2).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (2, "unknown", 0), (None, "ann", 0)}
-    r = got[1, "ann", 0]
-    assert "<|assistant|>\nhi <​|x|><|end|>" in r["rendered"]
-    assert [r["rendered"][s["start"] : s["end"]] for s in r["spans"] if s["train"]] == ["hi <​|x|><|end|>"]
-    assert got[1, "ann", 1]["n_train_chars"] == 0 and got[1, "bob", 1]["n_turns"] == 2
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(d).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann"), (4, "e|>\nvil")} and {r["part"] for r in got.values()} == {0}
+    r = got[1, "ann"]
+    assert r["rendered"].startswith("<|system|>\ns<|end|>\n<|assistant|>\nhi <\u200b|x|><|end|>\n<|user name=bob|>")
+    assert [r["rendered"][s["start"] : s["end"]] for s in r["spans"]] == ["hi <\u200b|x|><|end|>"] and r["n_turns"] == 4
+    assert [got[1, "bob"]["rendered"][s["start"] : s["end"]] for s in got[1, "bob"]["spans"]] == ["<|end|>"] * 2
     assert chat.rotate(d.limit(0)).count() == 0
+    parts = {(r["perspective"], r["part"]): r for r in chat.rotate(d.where("conv_id = 1"), turns_per_row=2).collect()}
+    assert set(parts) == {("ann", 0), ("ann", 1), ("bob", 0), ("bob", 1)}
+    assert parts["ann", 1]["n_train_chars"] == 0 and parts["bob", 1]["n_turns"] == 2 and parts["ann", 0]["rendered"] + parts["ann", 1]["rendered"] == r["rendered"]
+
+
+def test_chat_renders_long_dialogues_whole(spark):
+    rows = [(1, i, ("ann", "bob", "system")[i % 3], f"turn {i} <|") for i in range(900)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    for r in chat.rotate(d).collect():
+        want, spans = "", []
+        for _, _, who, text in rows:
+            want += "<|assistant|>\n" if who == r["perspective"] else "<|system|>\n" if who == "system" else f"<|user name={who}|>\n"
+            body = text.replace("<|", "<\u200b|") + "<|end|>"
+            if who == r["perspective"]:
+                spans.append((len(want), len(want) + len(body)))
+            want += body + "\n"
+        assert r["rendered"] == want and [tuple(x) for x in r["spans"]] == spans and r["n_turns"] == 900
 
 
 def test_classifier(spark, docs, none):
@@ -91,31 +110,30 @@ def test_classifier(spark, docs, none):
     assert min(s[i]["score"] for i in range(60)) > max(s[100 + i]["score"] for i in range(20)) and 0.5 < m.prior < 0.95
     assert all(0 <= r["s"] <= 1 for r in quality_classifier.classify(docs, m).select(F.col("quality_score.score").alias("s")).collect())
     assert quality_classifier.classify(none, quality_classifier.fit(none, none)).count() == 0
+    assert quality_classifier.fit(d, d.limit(0)) == quality_classifier.fit(none, d) and m == quality_classifier.fit(d.repartition(5), d.where("doc_id < 30"))
 
 
-def test_classifier_sees_the_whole_corpus(spark):
-    prose = " ".join(f"w{j * j % 97}" for j in range(60))
-    # 40 ids; one of them repeats 200 times, as prose.
-    x = [(i, prose) for i in range(20)] + [(i, "### $$$ BUY!! NOW!! " * (5 + i % 5)) for i in range(20, 40)]
-    d = spark.createDataFrame(x + [(7, prose)] * 199, "doc_id long, text string").repartition(3)
-    good = d.where("doc_id < 20").select("doc_id")
-    ids = d.select("doc_id").distinct().withColumnRenamed("doc_id", "i")
-    assert len(quality_classifier._rows(d, ids, "doc_id", "text")) == 40
-    m = quality_classifier.fit(d, good, max_positives=20, max_unlabelled=40)
-    n = quality_classifier.score_histogram(d, m, [-1e9, 0.0, 1e9])
-    assert n.sum() == len(x) + 199 and n[0] == n[3] == 0
-    # By rows 219 of 239 are prose; by ids, as a sample has them, half.
-    assert m.prior > 0.8
-    few = quality_classifier.fit(d, good, max_positives=6, max_unlabelled=10)
-    assert few != m and few == quality_classifier.fit(d.repartition(5), good, max_positives=6, max_unlabelled=10)
+def test_quality_fences_scale_with_the_values(spark):
+    """No cutoff is fixed: ten times the values, ten times the fences, up to the sketch's own error; small groups go upward."""
+    rows = [(lang, source, m, round((17 + i * 7919 % 83) * k), 3) for k, lang in ((1, "a"), (10, "b")) for source in ("s", "t") for m in quality_rules.METRICS for i in range(100)]
+    rows += [("a", "tiny", m, 9999, 2) for m in quality_rules.METRICS]
+    d = spark.createDataFrame(rows, "lang string, source string, metric string, v long, n long")
+    sketch = d.select("lang", "source", "metric", quality_rules.bucket(d["v"]).alias("b"), "n").groupBy("lang", "source", "metric", "b").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    f = {(r["lang"], r["source"]): r for r in quality_rules.fences(sketch).collect()}
+    for name in [c for c in f["a", "s"].asDict() if c not in ("lang", "source")]:
+        assert abs(f["b", "s"][name] / f["a", "s"][name] / 10 - 1) < 0.3 and f["a", "s"][name] == f["a", "t"][name]
+        assert abs(f["a", "tiny"][name] - f["a", "s"][name]) <= 0.1 * abs(f["a", "s"][name]) + 1
+    whole = {tuple(r) for r in quality_rules.fences(quality_rules.merge_sketches(sketch.where("source = 's'"), sketch.where("source <> 's'"))).collect()}
+    assert whole == {tuple(r) for r in f.values()} and quality_rules.fences(sketch.limit(0)).count() == 0
 
 
 def test_warc(spark, tmp_path):
     big = "<p>" + "payload " * 300
-    rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (None, "http://f", big)]
+    rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "http://c", "small"), (4, "http://d/%20x", "small"), (5, "http://e", None), (None, "http://f", big)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     m = warc.write_warc(d, f"file:{tmp_path}/w", broadcast_rows=0)
     got = {r["page_id"]: r for r in warc.read_warc(m).collect()}
+    assert got[1]["url"] == "http://a/ b\n" and got[2]["url"] is None and got[4]["url"] == "http://d/%20x"
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), None: ("revisit", 2)}
     assert all(r["ok"] for r in got.values()) and got[1]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and bytes(got[2]["payload"]).decode() == big
     empty = warc.write_warc(d.limit(0), f"file:{tmp_path}/e")
@@ -144,7 +162,7 @@ def test_repeats(docs, none):
         want[len(b), len(gone), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()] += 1
     assert Counter((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == want
     hot = repeats.remove_repeats(docs, length=40, group=1).collect()
-    assert sorted((r["n_removed"], r["n_spans"]) for r in hot) == sorted((r["n_removed"], r["n_spans"]) for r in got)
+    assert Counter((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in hot) == want
 
 
 def test_sentencepieces(docs, none):
@@ -162,6 +180,157 @@ def test_sentencepieces(docs, none):
     assert s.encode(long).tolist() == sp.encode(long) and s.widest <= 5 * s.m.longest + 3
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _unigram_model(pieces, byte_fallback):
+    """A model file of the given (piece, score, kind), written by hand."""
+    field = lambda n, data: _varint(n << 3 | 2) + _varint(len(data)) + data
+    flag = lambda n, x: _varint(n << 3) + _varint(x)
+    out = b"".join(field(1, field(1, p.encode()) + _varint(2 << 3 | 5) + struct.pack("<f", s) + flag(3, k)) for p, s, k in pieces)
+    trainer = flag(3, 1) + flag(35, int(byte_fallback)) + flag(40, 0) + flag(41, 1) + flag(42, 2)
+    return out + field(2, trainer) + field(3, field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram(byte_fallback):
+    import sentencepiece
+
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abc\u2581") for _ in range(rnd.randrange(2, 9))) for _ in range(300)}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256) if byte_fallback]
+    pieces += [(w, round(-rnd.uniform(2, 12), 3), 1) for w in sorted(words | {"a", "b", "c", "\u2581"})]
+    data = _unigram_model(pieces, byte_fallback)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    s = sentencepieces.Search(sentencepieces.Model(data))
+    assert not s.m.bpe
+    for n in [*range(60), 5000]:
+        text = "".join(rnd.choice("aabbcc  d\u00e9") for _ in range(n))
+        assert s.encode(text).tolist() == sp.encode(text)
+    assert s.widest <= 5 * s.m.longest + 3  # one stretch of 5000 characters, a bounded window
+
+
+def test_sentencepieces_window_is_bounded():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    s = sentencepieces.Search(sentencepieces.Model(open(sentencepieces.MODEL, "rb").read()))
+    text = "".join(random.Random(3).choices("etaoinshrdlu", k=1_000_000))
+    assert s.encode(text).tolist() == sp.encode(text) and s.widest <= 5 * s.m.longest + 3
+
+
+def test_many_rules(spark):
+    """Ten thousand rules: the verdicts are those of trying every rule, and few regular expressions run."""
+    rnd = random.Random(11)
+    names = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "shop", "news") for b in range(400)]
+    rules = [url_filters.host_rule(f"{rnd.choice(names)}.{rnd.choice(('com', 'net', 'org'))}", rnd.choice(("/", "/en/", "/en/7", "/shop/x")), rnd.choice(("allow", "block"))) for _ in range(9_900)]
+    rules += [url_filters.Rule(f"p{i}", "block", rf"[?&]k{i}=", (f"k{i}",), 1 + i % 3, True) for i in range(100)]
+    urls = [f"http://{rnd.choice(('', 'www.'))}{rnd.choice(names)}.{rnd.choice(('com', 'net', 'org'))}{rnd.choice(('/', '/en/x', '/en/71', '/shop/xy', '/a'))}{rnd.choice(('', f'?k{rnd.randrange(120)}=1'))}" for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+
+    def brute(url):
+        host, path, query = url_filters.split_url(url)
+        fit = [r for r, p in compiled if p.search(f"{host}{path}?{query}" if r.query else f"{host}{path}")]
+        best = max(fit, key=lambda r: r.rank, default=None)
+        return (best.name, best.action) if best else (None, "allow")
+
+    want = {i: brute(u) for i, u in enumerate(urls)}
+    assert len({w[0] for w in want.values()}) > 100
+    for at_once in (url_filters.RULES_AT_ONCE, 3_000):
+        got = {r["page_id"]: r["url_filter"] for r in url_filters.filter_urls(d, rules, rules_at_once=at_once).collect()}
+        assert {i: (f["rule"], f["verdict"]) for i, f in got.items()} == want
+        assert sum(f["n_patterns"] for f in got.values()) / len(got) < 30
+
+
+def test_jaccard_is_not_deceived(spark):
+    """Thue-Morse words and their complements have one polynomial hash under every base modulo 2^64; these texts share nothing."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    d = spark.createDataFrame([(1, f"one two {word}"), (2, f"one two {other}"), (3, f"ONE two {word}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_classes(d, 3, Fraction(9, 10)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+CLASHES = ["row", "id", "h", "t", "tie", "m_id", "gone_id", "gone_h", "gone", "c", "n", "i", "source_", "whole", "theta", "q", "k", "url_text", "url_found", "salt", "r_salt", "piece_ids", "piece_text", "url_filter", "quality", "quality_score", "a.b", "r_source", "r_lang", "symbol_rate_max", "quality_", "digest"]
+
+
+@pytest.mark.parametrize("kind", ["quality_rules", "drop_copies", "drop_near_copies", "take_mix", "encode", "classify", "filter_urls"])
+def test_clashing_names(spark, kind):
+    """Extra columns of any name come back as they were, whether sides are broadcast or shuffled."""
+    base = spark.createDataFrame(DOCS, TYPES)
+    from pyspark.sql import functions as F
+
+    wide = base.select(*base.columns, *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES])
+    m = quality_classifier._bias(len(quality_classifier.FEATURES))
+    runs = {
+        "quality_rules": [lambda: quality_rules.quality_rules(wide), lambda: quality_rules.quality_rules(wide, broadcast_rows=0)],
+        "drop_copies": [lambda: exact_dedup.drop_copies(wide), lambda: exact_dedup.drop_copies(wide, broadcast_rows=0)],
+        "drop_near_copies": [lambda: ngram_jaccard.drop_near_copies(wide), lambda: ngram_jaccard.drop_near_copies(wide, broadcast_rows=0)],
+        "take_mix": [lambda: mixing.take_mix(wide)], "encode": [lambda: sentencepieces.encode(wide), lambda: sentencepieces.decode(sentencepieces.encode(wide.drop("piece_ids")))],
+        "classify": [lambda: quality_classifier.classify(wide, m)], "filter_urls": [lambda: url_filters.filter_urls(wide, url_filters.PATTERN_RULES, "text")],
+    }
+    for run in runs[kind]:
+        got = run()
+        rows = got.collect()
+        same = [f.name for f in got.schema if f.name in wide.columns and f.dataType == wide.schema[f.name].dataType]
+        assert len(same) >= len(wide.columns) - 1 and rows and got.columns[: len(same)] == same == [c for c in wide.columns if c in same]
+        known = {(r["doc_id"], r["text"]) for r in base.collect()}
+        assert all((r["doc_id"], r["text"]) in known and all(r[c] == f"{c}{'-' if r['doc_id'] is None else r['doc_id']}" for c in CLASHES if c in same) for r in rows)
+
+
+def test_repeated_rows_in_the_stages(spark):
+    """Of rows equal in id and text the one of the largest hash of all columns stays; of wholly equal rows one. Near copies: rows that
+    repeat the least id stay. The mix takes repeated rows together."""
+    rows = [(1, PROSE, "en", "a", 1), (1, PROSE, "en", "a", 2), (1, PROSE, "en", "a", 2), (2, PROSE + " x", "en", "a", 1), (3, None, None, None, None), (3, None, None, None, None)]
+    d = spark.createDataFrame(rows, TYPES)
+    one = [sorted(map(tuple, exact_dedup.drop_copies(d.repartition(n)).collect()), key=repr) for n in (1, 4)]
+    assert one[0] == one[1] and [r[0] for r in one[0]] == [1, 2, 3]
+    near = ngram_jaccard.drop_near_copies(d)
+    assert sorted(r["doc_id"] for r in near.collect()) == [1, 1, 1, 3, 3]
+    taken = Counter(tuple(r) for r in mixing.take_mix(d).collect())
+    assert taken[rows[1]] == 2 * taken[rows[0]]
+    empty = d.limit(0)
+    assert not any(f(empty).count() for f in (exact_dedup.drop_copies, ngram_jaccard.drop_near_copies, mixing.take_mix, quality_rules.quality_rules))
+
+
+def test_very_long_and_odd_texts(spark):
+    long = " ".join(f"word{i % 5000}x{i}" for i in range(60_000))
+    rows = [(1, long, "en", "a", 1), (2, long + " tail", "en", "a", 1), (3, "x" * 300_000, "en", "a", 1), (4, "\u3000\u00a0", None, "", 0), (5, " \n\t ", "", None, 0)]
+    d = spark.createDataFrame(rows, TYPES).repartition(2)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_classes(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(d).collect()} == {1: len(long), 2: len(long), 3: 300_000, 4: 0, 5: 0}
+    assert quality_rules.quality_rules(d).count() == exact_dedup.drop_copies(d).count() == 5
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(d).collect()} == {1: 60_000, 2: 60_001, 3: 1, 4: 1, 5: 0}
+
+
+def test_joins_that_are_too_large_to_broadcast(spark):
+    from lakewarden.llm.common import join_small
+
+    left = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i) for i in range(600)], "s long, v long").repartition(4)
+    right = spark.createDataFrame([(0, "x"), (1, "y"), (None, "n")], "s long, w string")
+    want = sorted(map(tuple, join_small(left, right, ["s"], "left", left["v"]).collect()), key=repr)
+    assert len(want) == 600
+    for hot in (1, 150, 10_000):
+        assert sorted(map(tuple, join_small(left, right, ["s"], "left", left["v"], salts=3, rows=0, hot_rows=hot).collect()), key=repr) == want
+
+
+def test_tables_are_deleted(spark, docs):
+    from pathlib import Path
+
+    from lakewarden.llm.common import shared_dir
+
+    top = Path(shared_dir(spark)) / "lakewarden"
+    before = len(list(top.iterdir())) if top.exists() else 0
+    ngram_jaccard.jaccard_classes(docs).collect()
+    assert len(list(top.iterdir())) - before <= 3
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://X.Example.COM/en/7?a"), (2, None), (3, "no scheme"), (4, "http://example.com/en/"), (5, "http://a.com/fr/"), (6, "https://blog.a.org/x.html"), (7, "ftp://xcom/en/")]
     d = spark.createDataFrame(rows, "page_id long, url string")
