@@ -34,8 +34,8 @@ SEEDS = 4
 QUERIES = 4096
 #: A segment that so many texts have is a common one.
 COMMON = 8
-#: Segments of three numbers each, about 60 bytes in memory, that are broadcast at most; they are counted, as are their bytes.
-SEGMENT_ROWS = 2_000_000
+#: Segments of three numbers each, about 60 bytes in memory, that are broadcast at a time, and how many times at most.
+SEGMENT_ROWS, SLICES = 400_000, 8
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int, seed: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -352,13 +352,30 @@ def _digests(d: DataFrame, words: int, num: int, den: int, scratch: Scratch) ->
 
 def _followed(sets: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFrame:
     """(s1, k, a) of the segments that sets share with others; a is the least set of segment k. Linked sets share one of these."""
-    part = lambda d: sets.where("n > 0").select("s1", F.lit(d).alias("down"), F.col(f"spare{d}").alias("spare"), F.explode(f"keys{d}").alias("k"))
-    keys = part(0).unionByName(part(1))
-    shared = keys.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    def keys(of: int = 1, i: int = 0) -> DataFrame:
+        """All sets' segments, or slice i of them."""
+        out = None
+        for d in (0, 1):
+            k = F.filter(f"keys{d}", lambda x: F.pmod(x, F.lit(of)) == i) if of > 1 else F.col(f"keys{d}")
+            part = sets.where("n > 0").select("s1", F.lit(d).alias("down"), F.col(f"spare{d}").alias("spare"), F.explode(k).alias("k"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    shared = keys().groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
     shared = scratch.table(shared.select("k", F.col("lo").alias("a"), (F.col("c") >= COMMON).alias("common")), "segments")
-    # Beyond the bound both sides are dealt by segment; adaptive execution splits the segments of many copies.
-    side = F.broadcast(shared) if small(shared, min(SEGMENT_ROWS, 4 * broadcast_rows)) else shared
-    star = scratch.table(keys.join(side, "k").select("s1", "down", "spare", "k", "a", "common").distinct(), "segments")
+    # A slice of them is broadcast at a time. Beyond SLICES both sides are dealt by segment; adaptive execution splits the segments
+    # of many copies.
+    room = min(SEGMENT_ROWS, 4 * broadcast_rows)
+    slices = -(-shared.count() // room) if room else SLICES + 1
+    held = ["s1", "down", "spare", "k", "a", "common"]
+    if slices <= SLICES:
+        star = None
+        for i in range(max(1, slices)):
+            part = shared.where(F.pmod("k", F.lit(max(1, slices))) == i)
+            part = scratch.table(keys(max(1, slices), i).join(F.broadcast(part), "k").select(*held).distinct(), "segments")
+            star = part if star is None else star.unionByName(part)
+    else:
+        star = scratch.table(keys().join(shared, "k").select(*held).distinct(), "segments")
     # Passages that many texts share fill whole segments. A set that agrees on more segments with whatever it links with than it
     # has common ones agrees on one that is not common, so its common ones need not be followed.
     rich = star.where("common").groupBy("s1", "down", "spare").agg(F.count(F.lit(1)).alias("h")).where("h < spare").select(F.col("s1").alias("x"), F.col("down").alias("y"))

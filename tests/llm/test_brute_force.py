@@ -76,7 +76,8 @@ def near_the_threshold():
 
 
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_jaccard_near_the_threshold(spark, k, num, den):
+def test_jaccard_near_the_threshold(spark, monkeypatch, k, num, den):
+    monkeypatch.setattr(ngram_jaccard, "SEGMENT_ROWS", 3_000)  # several slices
     texts = dict(enumerate(near_the_threshold()))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     want = classes(texts, k, num, den)
