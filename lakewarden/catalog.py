@@ -65,9 +65,16 @@ def registry() -> Registry:
     return Registry([parse_document(MODEL)])
 
 
+_SESSIONS: dict[tuple, GovernedSession] = {}
+
+
 def session(spark: SparkSession, sf_dir: str, principal: str | None = None, tables=TABLES) -> GovernedSession:
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
-    return GovernedSession(spark, frames, PolicyEngine(POLICY).resolve(principal) if principal else OPEN, registry())
+    """The source as a principal sees it. Sessions are kept, one a source and principal, as a service keeps them."""
+    key = (spark.sparkContext.applicationId, sf_dir, principal, tables)
+    if key not in _SESSIONS:
+        frames = {t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables}
+        _SESSIONS[key] = GovernedSession(spark, frames, PolicyEngine(POLICY).resolve(principal) if principal else OPEN, registry())
+    return _SESSIONS[key]
 
 
 def _sql(sql: str, principal: str | None = None, params=(), whole: bool = False) -> Callable:
@@ -93,22 +100,13 @@ def _doc(payload: dict, principal: str | None = None) -> Callable:
     return lambda spark, sf: build_document_plan(session(spark, sf, principal), payload).plan.frame
 
 
-def _left_join(where_level: bool) -> Callable:
-    """Row policy below the outer join (the gate's way), or after it."""
+def _agg(collection: str, pipeline: list, principal: str | None = None) -> Callable:
+    return _doc({"operation": "aggregate", "collection": collection, "pipeline": pipeline}, principal)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if not where_level:
-            s = session(spark, sf_dir, "ann")
-            return s.spark.table("orders").join(s.spark.table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("o_orderstatus").agg(F.count("c_custkey").alias("matched"), F.count(F.lit(1)).alias("rows"))
-        d = spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"), "left").where("c_nationkey = 2")
-        return d.groupBy("o_orderstatus").agg(F.count("c_custkey").alias("matched"), F.count(F.lit(1)).alias("rows"))
 
-    return run
-
-
-def _profile(table: str, drop=()) -> Callable:
+def _profile(table: str) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = profile.profile(spark.read.parquet(f"{sf_dir}/{table}.parquet").drop(*drop))
+        d = profile.profile(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         tops = F.array_join(F.transform("topValues", lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))), ",")
         return d.select("column", "total", "distinctCount", "nullRate", tops.alias("top"))
 
@@ -152,22 +150,22 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_texts(spark, sf_dir), QUESTION).select("id", F.round("score", 6).alias("score"))
+TOP = 100
 
 
-def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.cosine(_texts(spark, sf_dir), QUESTION).select("id", F.round("score", 6).alias("score"))
+def _top(scores: Callable) -> Callable:
+    """The TOP best documents, of equal scores (six decimals) the least ids."""
+    return lambda spark, sf: retrieval.top(scores(_texts(spark, sf), QUESTION).select("id", F.round("score", 6).alias("score")), TOP)
 
 
 def _embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return retrieval.embed(b, "item_id", "text").select("id", F.col("slot").cast("long").alias("slot"), "value")
+    return retrieval.embed(_texts(spark, sf_dir), "id", "text").select("id", F.col("slot").cast("long").alias("slot"), "value")
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
-    return retrieval.fuse(retrieval.bm25(b, QUESTION), retrieval.cosine(b, QUESTION)).select("id", F.round("score", 6).alias("score"))
+    d = _texts(spark, sf_dir)
+    six = lambda x: x.select("id", F.round("score", 6).alias("score"))
+    return retrieval.fuse(six(retrieval.bm25(d, QUESTION)), six(retrieval.cosine(d, QUESTION))).select("id", F.round("score", 6).alias("score"))
 
 
 def _question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +212,14 @@ _SAME = {
     "join_cross": "SELECT count(*) AS n FROM region a CROSS JOIN region b CROSS JOIN region c WHERE a.r_regionkey <> b.r_regionkey",
     "join_outer_full": "SELECT count(*) AS n, count(s_suppkey) AS s, count(c_custkey) AS c FROM supplier FULL OUTER JOIN customer ON s_suppkey = c_custkey + 50",
     "join_semi": "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
-    "join_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
+    "join_left": "SELECT n_name, count(s_suppkey) AS s, count(*) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey % 2 = 0 GROUP BY n_name",
+    "join_right": "SELECT n_name, count(s_suppkey) AS s, count(*) AS n FROM supplier RIGHT JOIN nation ON n_nationkey = s_nationkey AND s_suppkey % 2 = 0 GROUP BY n_name",
+    "join_range": "SELECT a.p_partkey AS a, count(*) AS n FROM part a JOIN part b ON b.p_size = a.p_size AND b.p_partkey BETWEEN a.p_partkey - 50 AND a.p_partkey + 50 GROUP BY a.p_partkey",
+    "set_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
+    "cte_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT t.n, count(n_nationkey) AS c FROM t LEFT JOIN nation ON n_nationkey < t.n GROUP BY t.n",
+    "cast_colons": "SELECT p_partkey, p_size::bigint AS b, '7'::int AS i, p_name::string AS s FROM part",
     "agg_having": _AGG,
     "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     "agg_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
@@ -240,7 +245,7 @@ _PAIRS: dict[str, tuple[Callable, str | None]] = {
     "gate_limit_clamp": (_sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50000"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10000"),
     "gate_limit_preserve": (_sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7"),
     "gate_offset": (_sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 20"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 20"),
-    "gate_union_limit": (lambda s, d: build_plan(session(s, d), "SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders LIMIT 20").frame.agg(F.count(F.lit(1)).alias("n")), "SELECT 20::BIGINT AS n"),
+    "gate_union_limit": (lambda s, d: build_plan(session(s, d), "SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders LIMIT 20").frame.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders LIMIT 20)"),
     "gate_subquery_unlimited": (_sql("SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"), "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"),
     "rlac_eq": (_sql("SELECT c_custkey, c_name FROM customer", "ann", whole=True), "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 2"),
     "rlac_in": (_sql("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment", "bob"), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment"),
@@ -251,8 +256,8 @@ _PAIRS: dict[str, tuple[Callable, str | None]] = {
     "rlac_self_join": (_sql("SELECT a.c_custkey AS x, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_custkey", "ann", whole=True), "SELECT a.c_custkey AS x, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_nationkey = 2 AND b.c_nationkey = 2 GROUP BY a.c_custkey"),
     "rlac_cte_exists": (_sql("WITH x AS (SELECT * FROM customer) SELECT count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM x WHERE x.c_custkey = o.o_custkey)", "ann"), "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 2)"),
     "rlac_multi_role": (_sql("SELECT count(*) AS n FROM customer", "eve"), "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 1000 AND c_nationkey <> 3"),
-    "rlac_left_join_view": (_left_join(False), "SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey = 2) c ON o_custkey = c_custkey GROUP BY o_orderstatus"),
-    "rlac_left_join_where": (_left_join(True), "SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN customer c ON o_custkey = c_custkey WHERE c_nationkey = 2 GROUP BY o_orderstatus"),
+    "rlac_left_join_view": (_sql("SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus", "ann"), "SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey = 2) c ON o_custkey = c_custkey GROUP BY o_orderstatus"),
+    "rlac_left_join_where": (_sql("SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL GROUP BY o_orderstatus", "ann"), "SELECT o_orderstatus, count(c_custkey) AS matched, count(*) AS rows FROM orders LEFT JOIN customer c ON o_custkey = c_custkey WHERE c_nationkey = 2 GROUP BY o_orderstatus"),
     "rlac_deny_all_count": (_sql("SELECT count(*) AS n FROM customer", "nobody"), "SELECT 0::BIGINT AS n"),
     "clac_star": (_sql("SELECT * FROM customer", "ann", whole=True), "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey = 2"),
     "clac_star_join": (_sql("SELECT c.*, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "ann", whole=True), "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 2"),
@@ -269,9 +274,10 @@ _PAIRS: dict[str, tuple[Callable, str | None]] = {
     "model_view": (_frame(compile_view, "nations"), "SELECT n_nationkey, n_name FROM nation"),
     "model_cube": (_frame(compile_cube, "status"), "SELECT o_orderstatus, count(o_orderkey) AS order_count FROM orders GROUP BY 1"),
     "scalar_json": (_sql("SELECT event_id, get_json_object(props, '$.k') AS k FROM events", whole=True), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+    "scalar_map": (_sql("SELECT n_nationkey, element_at(map('a', n_nationkey, 'b', n_regionkey), 'b') AS b, cardinality(map_keys(map('a', 1, 'b', 2))) AS k, map_contains_key(map(n_name, 1), 'FRANCE') AS f FROM nation", whole=True), "SELECT n_nationkey, n_regionkey AS b, 2 AS k, n_name = 'FRANCE' AS f FROM nation"),
     "scalar_array": (_sql("SELECT n_nationkey, element_at(array(n_name, 'x'), 1) AS a, size(split(n_name, 'A')) AS s FROM nation", whole=True), "SELECT n_nationkey, n_name AS a, len(string_split(n_name, 'A'))::INT AS s FROM nation"),
-    "profile_stats": (_profile("orders", ("o_orderdate", "o_totalprice")), _profile_sql("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))),
-    "profile_top_values": (_profile("events", ("ts", "value")), _profile_sql("events", ("event_id", "user_id", "event_type", "props"))),
+    "profile_stats": (_profile("orders"), _profile_sql("orders", ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority"))),
+    "profile_top_values": (_profile("events"), _profile_sql("events", ("event_id", "user_id", "ts", "event_type", "value", "props"))),
     "profile_numeric_minmax": (_numeric_ends, "SELECT 'c_custkey' AS \"column\", min(c_custkey)::BIGINT AS lo, max(c_custkey)::BIGINT AS hi FROM customer UNION ALL SELECT 'c_nationkey', min(c_nationkey)::BIGINT, max(c_nationkey)::BIGINT FROM customer"),
     "infer_overlap": (_overlap, "WITH c AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL ORDER BY v LIMIT 1000) SELECT count(*) AS sampled, count(p.c_custkey) AS matched FROM c LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) p ON p.c_custkey = c.v"),
     "mine_rules": (lambda s, d: mining.mine_rules(_log(s)), "SELECT * FROM (VALUES ('rule_o_o_orderstatus_f', 'o.o_orderstatus = ''f''', 3::BIGINT), ('rule_n_regionkey_1', 'n_regionkey > 1', 2::BIGINT)) AS t(name, rule, frequency)"),
@@ -284,12 +290,24 @@ _PAIRS: dict[str, tuple[Callable, str | None]] = {
     "doc_lookup": (_doc({"operation": "aggregate", "collection": "region", "pipeline": [{"$lookup": {"from": "nation", "localField": "r_regionkey", "foreignField": "n_regionkey", "as": "nations"}}, {"$project": {"r_name": 1, "n": {"$size": "$nations"}}}]}), "SELECT r_name, count(n_nationkey)::INT AS n FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name"),
     "doc_distinct": (_doc({"operation": "distinct", "collection": "events", "field": "event_type"}), "SELECT DISTINCT event_type AS value FROM events"),
     "doc_count": (_doc({"operation": "countDocuments", "collection": "customer", "filter": {"$or": [{"c_mktsegment": "BUILDING"}, {"c_nationkey": {"$gt": 20}}]}}, "bob"), "SELECT count(*) AS count FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND (c_mktsegment = 'BUILDING' OR c_nationkey > 20)"),
-    "doc_facet": (_doc({"operation": "aggregate", "collection": "nation", "pipeline": [{"$facet": {"all": [{"$count": "n"}], "some": [{"$match": {"n_regionkey": 1}}, {"$count": "n"}]}}, {"$project": {"a": {"$size": "$all"}, "b": {"$size": "$some"}}}]}), "SELECT 1 AS a, 1 AS b"),
+    "doc_facet": (_agg("nation", [{"$facet": {"all": [{"$count": "n"}], "some": [{"$match": {"n_regionkey": 1}}, {"$count": "n"}]}}, {"$project": {"a": {"$arrayElemAt": ["$all.n", 0]}, "b": {"$arrayElemAt": ["$some.n", -1]}}}]), "SELECT (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS b"),
+    "doc_facet_large": (_agg("lineitem", [{"$facet": {"all": [{"$match": {"l_quantity": {"$gt": 0}}}], "some": [{"$match": {"l_quantity": {"$gt": 25}}}]}}, {"$project": {"a": {"$size": "$all"}, "b": {"$size": "$some"}}}]), "SELECT count(*) FILTER (WHERE l_quantity > 0)::INT AS a, count(*) FILTER (WHERE l_quantity > 25)::INT AS b FROM lineitem"),
+    "doc_literal": (_agg("nation", [{"$project": {"n_nationkey": 1, "price": {"$literal": "$5"}}}]), "SELECT n_nationkey, '$5' AS price FROM nation"),
+    "doc_first_last": (_agg("orders", [{"$sort": {"o_orderkey": -1}}, {"$group": {"_id": "$o_orderstatus", "first": {"$first": "$o_orderkey"}, "last": {"$last": "$o_orderkey"}}}]), "SELECT o_orderstatus AS _id, max(o_orderkey) AS first, min(o_orderkey) AS last FROM orders GROUP BY 1"),
+    "doc_first_mixed": (_agg("orders", [{"$sort": {"o_orderpriority": 1, "o_orderkey": -1}}, {"$group": {"_id": "$o_orderstatus", "first": {"$first": "$o_orderkey"}, "n": {"$sum": 1}}}]), "SELECT o_orderstatus AS _id, max(CASE WHEN r = 1 THEN o_orderkey END) AS first, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey DESC) AS r FROM orders) GROUP BY 1"),
+    "doc_bucket": (_agg("part", [{"$bucket": {"groupBy": "$p_size", "boundaries": [0, 10, 30], "default": 99, "output": {"n": {"$sum": 1}, "most": {"$max": "$p_partkey"}}}}]), "SELECT CASE WHEN p_size >= 0 AND p_size < 10 THEN 0 WHEN p_size >= 10 AND p_size < 30 THEN 10 ELSE 99 END AS _id, count(*) AS n, max(p_partkey) AS most FROM part GROUP BY 1"),
+    "doc_union_with": (_agg("customer", [{"$project": {"k": "$c_nationkey"}}, {"$unionWith": {"coll": "supplier", "pipeline": [{"$project": {"k": "$s_nationkey"}}]}}, {"$group": {"_id": "$k", "n": {"$sum": 1}}}], "bob"), "SELECT k AS _id, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1"),
+    "doc_replace_root": (_agg("nation", [{"$replaceRoot": {"newRoot": {"name": "$n_name", "at": {"$add": ["$n_regionkey", 1]}}}}]), "SELECT n_name AS name, n_regionkey + 1 AS at FROM nation"),
+    "doc_window_fields": (_agg("nation", [{"$setWindowFields": {"partitionBy": "$n_regionkey", "sortBy": {"n_nationkey": 1}, "output": {"r": {"$documentNumber": {}}, "s": {"$sum": "$n_nationkey", "window": {"documents": ["unbounded", "current"]}}}}}, {"$project": {"n_nationkey": 1, "r": 1, "s": 1}}]), "SELECT n_nationkey, row_number() OVER w AS r, sum(n_nationkey) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)"),
+    "doc_expressions": (_agg("orders", [{"$match": {"$expr": {"$gt": ["$o_totalprice", 1000]}, "o_orderkey": {"$mod": [4, 1]}}}, {"$group": {"_id": {"$switch": {"branches": [{"case": {"$eq": ["$o_orderstatus", "F"]}, "then": "done"}, {"case": {"$in": ["$o_orderstatus", ["O", "P"]]}, "then": "open"}], "default": "?"}}, "n": {"$sum": {"$cond": {"if": {"$and": [{"$gt": ["$o_custkey", 5]}, {"$not": [{"$eq": ["$o_orderpriority", "1-URGENT"]}]}]}, "then": 1, "else": 0}}}}}]), "SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus IN ('O', 'P') THEN 'open' ELSE '?' END AS _id, sum(CASE WHEN o_custkey > 5 AND o_orderpriority <> '1-URGENT' THEN 1 ELSE 0 END)::BIGINT AS n FROM orders WHERE o_totalprice > 1000 AND o_orderkey % 4 = 1 GROUP BY 1"),
+    "doc_arrays": (_agg("conversations", [{"$group": {"_id": "$conv_id", "roles": {"$push": "$role"}, "turns": {"$push": {"turn": "$turn", "role": "$role"}}}}, {"$match": {"roles": {"$all": ["user", "assistant"]}, "turns": {"$elemMatch": {"turn": {"$gte": 3}, "role": "user"}}}}, {"$project": {"n": {"$size": {"$filter": {"input": "$roles", "as": "r", "cond": {"$eq": ["$$r", "user"]}}}}}}, {"$group": {"_id": "$n", "c": {"$sum": 1}}}]), "SELECT n AS _id, count(*) AS c FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'user')::INT AS n FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0 AND count(*) FILTER (WHERE role = 'assistant') > 0 AND count(*) FILTER (WHERE role = 'user' AND turn >= 3) > 0) GROUP BY 1"),
     "doc_schema_infer": (_schema_inference, "SELECT 'k' AS path, 'number' AS types, false AS nullable"),
-    "bm25_topk": (_bm25, f"SELECT id, round(score, 6) AS score FROM ({_BM25.format(id='doc_id', table='documents', terms=_TERMS)})"),
-    "embed_hash": (_embedding, _VECTORS.format(id="item_id", table="benchmark")),
-    "cosine_topk": (_cosine, f"SELECT id, round(score, 6) AS score FROM ({_cosine_sql('documents', 'doc_id')})"),
-    "rrf_fuse": (_fused, f"WITH l AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_BM25.format(id='item_id', table='benchmark', terms=_TERMS)})), w AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_cosine_sql('benchmark', 'item_id')})) SELECT w.id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + 1.0::DOUBLE / (60 + w.r), 6) AS score FROM w LEFT JOIN l USING (id) WHERE coalesce(l.score, 0) > 0 OR w.score > 0 ORDER BY 2 DESC, 1 LIMIT 5"),
+    "bm25_topk": (_top(retrieval.bm25), f"SELECT id, round(score, 6) AS score FROM ({_BM25.format(id='doc_id', table='documents', terms=_TERMS)}) ORDER BY 2 DESC, 1 LIMIT {TOP}"),
+    "embed_hash": (_embedding, _VECTORS.format(id="doc_id", table="documents")),
+    "cosine_topk": (_top(retrieval.cosine), f"SELECT id, round(score, 6) AS score FROM ({_cosine_sql('documents', 'doc_id')}) ORDER BY 2 DESC, 1 LIMIT {TOP}"),
+    "rrf_fuse": (_fused, f"""WITH l AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, round(score, 6) AS score FROM ({_BM25.format(id='doc_id', table='documents', terms=_TERMS)}))),
+      w AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, round(score, 6) AS score FROM ({_cosine_sql('documents', 'doc_id')})))
+      SELECT w.id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + 1.0::DOUBLE / (60 + w.r), 6) AS score FROM w LEFT JOIN l USING (id) WHERE coalesce(l.score, 0) > 0 OR w.score > 0 ORDER BY coalesce(1.0::DOUBLE / (60 + l.r), 0) + 1.0::DOUBLE / (60 + w.r) DESC, 1 LIMIT 5"""),
     "question_id_dedup": (_question_ids, "SELECT sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS id, count(*) AS n FROM benchmark GROUP BY 1"),
 }
 QUERIES = {k: q for k, (q, _) in _PAIRS.items()}

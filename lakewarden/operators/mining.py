@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import GovernanceError
@@ -22,9 +22,13 @@ class Mined:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line, sql): blanks and # comments are left out; the numbers are those of the file's lines."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("line", "sql"))
-    return lines.where((F.trim("sql") != "") & ~F.trim("sql").startswith("#")).select((F.col("line") + 1).alias("line"), F.trim("sql").alias("sql"))
+    # Lines are numbered within the part of the file that a task reads; the parts' sizes, one row each, give the rest.
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    lines = lines.join(F.broadcast(before), "part").select((F.col("before") + F.col("i") + 1).cast("int").alias("line"), F.trim(F.regexp_replace("value", "\r$", "")).alias("sql"))
+    return lines.where((F.col("sql") != "") & ~F.col("sql").startswith("#"))
 
 
 def mine_rules(log: DataFrame, least: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ the scan like any other. Around that: read-only by allow-list, a row limit, and
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -47,9 +47,10 @@ def mint(**fields) -> Plan:
 
 
 class GovernedSession:
-    """The tables of one source as one principal sees them."""
+    """The tables of one source as one principal sees them. A table's view is made when it is first named; tables may be given as
+    functions that read them."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], policy: Resolved = OPEN, registry: Registry | None = None):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], policy: Resolved = OPEN, registry: Registry | None = None):
         self.policy, self.registry, self.parent = policy, registry, spark
         if policy.hidden and registry is None:
             raise policy_denied("clac", "Column policies need a semantic model.")
@@ -57,13 +58,27 @@ class GovernedSession:
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         self.names = {t.lower(): t for t in tables}
         self.columns: dict[str, list[str]] = {}
-        for name, df in tables.items():
-            self._register(name, df, [name, *(m.name for m in self._models(name))], {})
+        self._tables = dict(tables)
+        self._of: dict[str, object] = {}
         for m in registry.models.values() if registry else ():
             if m.name.lower() not in self.names and m.table in tables:
                 self.names[m.name.lower()] = m.name
-                # Under the model's name its columns have their semantic names, and only the declared ones are there.
-                self._register(m.name, tables[m.table], [m.name, m.table], {c.source: c.name for c in m.columns})
+                self._of[m.name.lower()] = m
+
+    def use(self, name: str) -> DataFrame:
+        """The governed view of a table or model that is in names."""
+        key = name.lower()
+        if key not in self.columns:
+            m = self._of.get(key)
+            table = m.table if m else self.names[key]
+            df = self._tables[table]
+            df = df() if callable(df) and not isinstance(df, DataFrame) else df
+            # Under a model's name its columns have their semantic names, and only the declared ones are there.
+            if m:
+                self._register(m.name, df, [m.name, m.table], {c.source: c.name for c in m.columns})
+            else:
+                self._register(table, df, [table, *(x.name for x in self._models(table))], {})
+        return self.spark.table(self.names[key])
 
     def _models(self, table: str):
         return [m for m in self.registry.models.values() if m.table.lower() == table.lower()] if self.registry else []
@@ -123,6 +138,7 @@ def analyse(session: GovernedSession, st: Statement, params: Sequence = ()) -> D
     for r in sorted(st.relations):
         if r not in session.names:
             raise unknown("table", r, suggest(r, session.names.values()))
+        session.use(r)
     marks = len(re.findall(r"\?", re.sub(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`|--[^\n]*|/\*.*?\*/|\"[^\"]*\"", "", st.text, flags=re.S)))
     if marks != len(params):
         raise syntax_error(f"the statement has {marks} parameters and {len(params)} values were given")

@@ -15,7 +15,8 @@ from ..errors import policy_denied, syntax_error, write_forbidden
 READ_NODES = frozenset(
     "Project Aggregate UnresolvedHaving Distinct Union Intersect Except Sort GlobalLimit LocalLimit LimitAll Offset UnresolvedWith UnresolvedRelation LocalRelation Filter Join "
     "SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction OneRowRelation UnresolvedInlineTable LateralJoin Generate Window WithWindowDefinition Pivot "
-    "UnresolvedPivot Unpivot Sample Range UnresolvedHint RepartitionByExpression Repartition UnresolvedOrdinal Deduplicate InlineTable ResolvedInlineTable UnresolvedTVFAliases".split()
+    "UnresolvedPivot Unpivot Sample Range UnresolvedHint RepartitionByExpression Repartition UnresolvedOrdinal Deduplicate InlineTable ResolvedInlineTable UnresolvedTVFAliases "
+    "UnionLoop UnionLoopRef".split()
 )
 #: Functions that leave the engine.
 FUNCTIONS_REFUSED = frozenset({"reflect", "java_method", "try_reflect", "input_file_name", "read_files"})
@@ -77,8 +78,10 @@ class _Walk:
             self.st.functions.add(".".join(str(x) for x in _seq(node.name())).lower())
         if kind == "UnresolvedWith":
             for pair in _seq(node.cteRelations()):
-                self.plan(pair._2(), scope)
-                scope = scope | {str(pair._1()).lower()}
+                name_of = str(pair._1()).lower()
+                # Under WITH RECURSIVE a query may name itself.
+                self.plan(pair._2(), scope | {name_of} if node.allowRecursion() else scope)
+                scope = scope | {name_of}
                 self.st.ctes.add(str(pair._1()).lower())
         for e in _seq(node.expressions()):
             self.expr(e, scope)

@@ -42,7 +42,7 @@ class _Frames:
     def _of(self, model: str) -> DataFrame:
         m = self.registry.model(model)
         hidden = self.session.policy.hidden_of(m.name, m.table)
-        d = self.session.spark.table(m.name if m.name.lower() in self.session.names and m.name.lower() != m.table.lower() else m.table)
+        d = self.session.use(m.name if m.name.lower() in self.session.names and m.name.lower() != m.table.lower() else m.table)
         have = {c.lower() for c in d.columns}
         shown = [c for c in m.columns if c.name.lower() not in hidden and (c.source.lower() in have or c.name.lower() in have)]
         return d.select(*[F.col(f"`{c.source if c.source.lower() in have else c.name}`").alias(c.name) for c in shown]).alias(m.name)

@@ -258,6 +258,18 @@ class Registry:
             raise unknown("column", f"{model}.{column}", suggest(column, [x.name for x in m.columns], hidden))
         return c
 
+    def spellings(self, hidden, model: str | None = None) -> set[str]:
+        """hidden names in lower case, each with the other name of the columns that have it as semantic or source name."""
+        veil = {h.lower() for h in hidden}
+        out = set(veil)
+        for m in self.models.values():
+            if model is None or m.name == model:
+                for c in m.columns:
+                    both = {c.name.lower(), c.source.lower()}
+                    if both & veil:
+                        out |= both
+        return out
+
     def visible(self, name: str, hidden: dict[str, str]) -> Model:
         m = self.model(name)
         if "*" in hidden:

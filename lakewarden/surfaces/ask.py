@@ -38,7 +38,51 @@ def command_client(command: Sequence[str], timeout_s: float = 120) -> Callable[[
 
 
 def visible_document(registry: Registry, hidden: Iterable[str]) -> dict:
-    veil = {h.lower() for h in hidden}
+    veil = registry.spellings(hidden)
+    words = lambda *x: {w.lower() for w in re.findall(r"\w+", " ".join(x))}
+    models = []
+    for m in registry.models.values():
+        d = _plain(m)
+        d["columns"] = [c for c in d["columns"] if not veil & {c["name"].lower(), c.get("sourceColumn", "").lower()}]
+        models.append(d)
+    metrics = [_plain(x) for x in registry.metrics.values() if not veil & words(x.expression)]
+    kept = {x["name"] for x in metrics}
+    cut = lambda e, **k: _plain(e) | {n: [c for c in v if c.lower() not in veil and (n not in ("metrics", "measures") or c in kept)] for n, v in k.items()}
+    return {
+        "models": models, "metrics": metrics,
+        "relationships": [_plain(r) for r in registry.relationships.values() if not veil & words(*(c for k in r.joinKeys for c in k))],
+        "views": [cut(v, columns=v.columns, metrics=v.metrics) for v in registry.views.values()], "cubes": [cut(c, dimensions=c.dimensions, measures=c.measures) for c in registry.cubes.values()],
+    }
+
+
+def guided_prompt(question: str, registry: Registry, instructions: str = "", approved: Sequence[dict] = (), precedents: Sequence[dict] = (), hidden: Iterable[str] = ()) -> str:
+    """What a model needs to write one statement: the models it may name, the project's own rules, checked and unchecked examples,
+    and the question last. What tells of a hidden column, by either of its names, is left out or scrubbed."""
+    veil = sorted(registry.spellings(hidden), key=lambda h: (-len(h), h))
+    name = rf"\b({'|'.join(map(re.escape, veil))})\b"
+    tells = lambda x: bool(veil) and re.search(name, json.dumps(x, default=str), re.I)
+    parts = ["Write one read-only SELECT in Spark SQL that answers the question at the end. Name only tables, columns and metrics listed here."]
+    parts.append("### Models\n" + json.dumps(visible_document(registry, veil), indent=2, default=str))
+    if instructions.strip():
+        parts.append("### Rules of this project\n" + instructions.strip())
+    for title, items in (("Checked examples", approved), ("Earlier statements, unchecked", precedents)):
+        if shown := [x for x in items if not tells(x)]:
+            parts.append(f"### {title}\n" + "\n".join(json.dumps(x, default=str) for x in shown))
+    text = "\n\n".join([*parts, "### Question\n" + question])
+    return re.sub(name, REDACTED, text, flags=re.I) if veil else text
+
+
+def ask(prompt: str) -> str:
+        r = subprocess.run(list(command), input=prompt, capture_output=True, text=True, timeout=timeout_s, check=False)
+        if r.returncode:
+            raise RuntimeError(f"the model's command ended with {r.returncode}")
+        return r.stdout
+
+    return ask
+
+
+def visible_document(registry: Registry, hidden: Iterable[str]) -> dict:
+    veil = registry.spellings(hidden)
     words = lambda *x: {w.lower() for w in re.findall(r"\w+", " ".join(x))}
     models = []
     for m in registry.models.values():

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from ..errors import GovernanceError, JoinPathError
 from ..operators.retrieval import Memory, result_shape
 from ..plans.documents import build_document_plan
-from ..plans.execution import MAX_BYTES, TIMEOUT_MS, execute, plain
+from ..plans.execution import MAX_BYTES, TIMEOUT_MS, check_scalar, execute, plain, row_count
 from ..plans.gate import GovernedSession, build_plan, dry_plan
 from ..plans.policy import OPEN, PolicyEngine
 from ..semantic.compiler import compile_selection
@@ -65,7 +65,7 @@ class Service:
         for x in self.registry.metrics.values():
             m = self.registry.model(x.model)
             words = {w.lower() for w in re.findall(r"\w+", x.expression)}
-            if not words & set(policy.hidden_of(m.name, m.table)):
+            if not words & self.registry.spellings(policy.hidden_of(m.name, m.table), m.name):
                 out.append({"name": x.name, "model": x.model, "expression": x.expression, "description": x.description})
         return out
 
@@ -78,13 +78,17 @@ class Service:
         at = time.monotonic()
         with self.audit.execution(connectionId, sql if sql is not None else str(query), current_principal()) as seen:
             s = self.session(connectionId)
-            plan = build_plan(s, sql, params or ()) if sql is not None else build_document_plan(s, query).plan
+            document = None if sql is not None else build_document_plan(s, query)
+            plan = build_plan(s, sql, params or ()) if document is None else document.plan
             seen["appliedPolicies"] = plan.applied_policies
             rows = execute(plan, self.timeout_ms, self.max_bytes)
-            seen["rowCount"] = len(rows)
+            result = rows if document is None else document.result(rows)
+            if not isinstance(result, list):
+                check_scalar(result, self.max_bytes)
+            seen["rowCount"] = row_count(result)
         if question and self.memory:
             self.memory.record(question, plan.sql, result_shape(plan.frame.schema), (time.monotonic() - at) * 1000, self.unverified(plan.relations))
-        return {"connectionId": connectionId, "type": self.sources.by_name[connectionId].config.type, "appliedLimit": plan.applied_limit, "appliedPolicies": list(plan.applied_policies), "results": plain(rows)}
+        return {"connectionId": connectionId, "type": self.sources.by_name[connectionId].config.type, "appliedLimit": plan.applied_limit, "appliedPolicies": list(plan.applied_policies), "results": plain(result)}
 
     def metric(self, connectionId: str, metric: str, dimensions: list[str] | None = None, limit: int = 1000) -> dict:
         """The compiler as a tool of its own."""
@@ -104,7 +108,7 @@ class Service:
             raise ValueError("the limit is 1 to 20")
         if self.memory is None:
             return []
-        veil = set(self.hidden())
+        veil = self.registry.spellings(self.hidden()) if self.registry else set(self.hidden())
         out = []
         for r in self.memory.search(query, limit):
             if veil & {w.lower() for w in re.findall(r"\w+", f"{r['question']} {r['sql']}")}:

@@ -148,8 +148,43 @@ def test_facet_arms_are_never_cut(spark):
     s = GovernedSession(spark, {"t": spark.range(10_001).withColumnRenamed("id", "x"), "u": spark.range(10_000).withColumnRenamed("id", "x")})
     ask = lambda t, *after: build_document_plan(s, {"operation": "aggregate", "collection": t, "pipeline": [{"$facet": {"a": [{"$match": {"x": {"$gte": 0}}}], "n": [{"$count": "n"}]}}, *after]})
     size, unwound = [{"$project": {"k": {"$size": "$a"}}}], [{"$unwind": "$a"}, {"$group": {"_id": None, "k": {"$sum": 1}}}]
+    # Rows that are gathered are refused beyond the bound; rows that are only counted are all counted.
+    assert code(lambda: execute(ask("t", *unwound).plan)) == "E_RESULT_TOO_LARGE"
+    assert [r["k"] for r in execute(ask("t", *size).plan)] == [10_001]
     for after in (size, unwound):
-        assert code(lambda after=after: execute(ask("t", *after).plan)) == "E_RESULT_TOO_LARGE"
         assert [r["k"] for r in execute(ask("u", *after).plan)] == [10_000]
+    both = {"$project": {"k": {"$size": "$a"}, "a": 1}}
+    assert code(lambda: execute(ask("t", both).plan)) == "E_RESULT_TOO_LARGE"
     assert "facet-refuse-over:10000" in ask("u", *size).applied_policies
     assert execute(ask("t", {"$project": {"n": 1}}).plan) == [{"n": [{"n": 10_001}]}]
+
+
+def test_document_answers_have_their_shapes(spark):
+    s = GovernedSession(spark, {"t": spark.range(5).withColumnRenamed("id", "x")})
+    ask = lambda **q: (lambda p: p.result(execute(p.plan)))(build_document_plan(s, {"collection": "t", **q}))
+    assert ask(operation="countDocuments") == 5 and ask(operation="findOne", filter={"x": 3}) == {"x": 3}
+    assert ask(operation="findOne", filter={"x": 9}) is None and ask(operation="find", filter={"x": {"$mod": [2, 1]}}) == [{"x": 1}, {"x": 3}]
+    assert ask(operation="aggregate", pipeline=[{"$match": {"x": 4}}, {"$project": {"y": {"$literal": "$x"}}}]) == [{"y": "$x"}]
+
+
+def test_recursive_cte_names_itself(spark):
+    s = GovernedSession(spark, {"t": spark.range(3)})
+    sql = "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT n FROM r ORDER BY n"
+    assert [r["n"] for r in execute(build_plan(s, sql))] == [1, 2, 3, 4]
+    assert code(lambda: build_plan(s, "WITH r AS (SELECT * FROM r) SELECT * FROM r")) == "E_UNKNOWN_TABLE"
+
+
+def test_rank_fusion_finds_the_winners_of_whole_lists(spark):
+    import random
+
+    from lakewarden.operators.retrieval import fuse
+
+    rnd = random.Random(2)
+    a, b = {i: rnd.randrange(1, 50) / 7 for i in range(0, 900)}, {i: rnd.randrange(-20, 50) / 9 for i in range(300, 1200)}
+    rank = lambda d: {i: n for n, i in enumerate(sorted(d, key=lambda i: (-d[i], i)), 1)}
+    ra, rb = rank(a), rank(b)
+    score = {i: (1 / (60 + ra[i]) if i in ra else 0) + (1 / (60 + rb[i]) if i in rb else 0) for i in {*a, *b} if a.get(i, 0) > 0 or b.get(i, 0) > 0}
+    want = sorted(score, key=lambda i: (-score[i], i))[:5]
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id long, score double").repartition(3)
+    got = fuse(frame(a), frame(b)).collect()
+    assert [r["id"] for r in got] == want and all(abs(r["score"] - score[r["id"]]) < 1e-12 for r in got)

@@ -121,3 +121,15 @@ def test_service_golden_dashboard(spark, tmp_path):
     assert deploy(page, "https://x", "b", c, t, post=lambda r: b'{"url": "https://y"}') == "https://y"
     with pytest.raises(PermissionError):
         deploy(page, "https://x", "b", c, t, post=lambda r: b"{}")
+
+
+def test_hidden_source_names_hide_semantic_ones():
+    from lakewarden import catalog
+    from lakewarden.surfaces.ask import guided_prompt, visible_document
+
+    r = catalog.registry()
+    assert r.spellings(["l_extendedprice"]) == {"l_extendedprice", "price"}
+    shown = visible_document(r, ["l_extendedprice"])
+    assert not {"revenue", "least_price", "most_price"} & {m["name"] for m in shown["metrics"]} and "parts" in {m["name"] for m in shown["metrics"]}
+    text = guided_prompt("what is the price?", r, "SUM(price) is revenue", [{"question": "q", "sql": "SELECT sum(price) FROM line"}], hidden=["l_extendedprice"])
+    assert "(price)" not in text and "l_extendedprice" not in text and "CLAC REDACTED" in text
