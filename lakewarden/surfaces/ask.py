@@ -72,46 +72,6 @@ def guided_prompt(question: str, registry: Registry, instructions: str = "", app
     return re.sub(name, REDACTED, text, flags=re.I) if veil else text
 
 
-def ask(prompt: str) -> str:
-        r = subprocess.run(list(command), input=prompt, capture_output=True, text=True, timeout=timeout_s, check=False)
-        if r.returncode:
-            raise RuntimeError(f"the model's command ended with {r.returncode}")
-        return r.stdout
-
-    return ask
-
-
-def visible_document(registry: Registry, hidden: Iterable[str]) -> dict:
-    veil = registry.spellings(hidden)
-    words = lambda *x: {w.lower() for w in re.findall(r"\w+", " ".join(x))}
-    models = []
-    for m in registry.models.values():
-        d = _plain(m)
-        d["columns"] = [c for c in d["columns"] if not veil & {c["name"].lower(), c.get("sourceColumn", "").lower()}]
-        models.append(d)
-    metrics = [_plain(x) for x in registry.metrics.values() if not veil & words(x.expression)]
-    kept = {x["name"] for x in metrics}
-    cut = lambda e, **k: _plain(e) | {n: [c for c in v if c.lower() not in veil and (n not in ("metrics", "measures") or c in kept)] for n, v in k.items()}
-    return {
-        "models": models, "metrics": metrics,
-        "relationships": [_plain(r) for r in registry.relationships.values() if not veil & words(*(c for k in r.joinKeys for c in k))],
-        "views": [cut(v, columns=v.columns, metrics=v.metrics) for v in registry.views.values()], "cubes": [cut(c, dimensions=c.dimensions, measures=c.measures) for c in registry.cubes.values()],
-    }
-
-
-def guided_prompt(question: str, registry: Registry, instructions: str = "", approved: Sequence[dict] = (), precedents: Sequence[dict] = (), hidden: Iterable[str] = ()) -> str:
-    veil = sorted({h for h in hidden}, key=len, reverse=True)
-    tells = (lambda x: re.search(rf"\b({'|'.join(map(re.escape, veil))})\b", json.dumps(x, default=str), re.I)) if veil else lambda x: None
-    block = lambda title, body: f"## {title}\n{body}"
-    show = lambda items: json.dumps(items, indent=2, default=str) if items else "(none)"
-    text = "\n\n".join([
-        "Use nothing but the context below. Approved queries and past ones are examples, not facts.",
-        block("Question", question), block("Visible semantic schema", show(visible_document(registry, veil))), block("Project instructions", instructions.strip() or "(none)"),
-        block("Approved query examples", show([q for q in approved if not tells(q)])), block("Retrieved precedents", show([p for p in precedents if not tells(p)])),
-    ])
-    return re.sub(rf"\b({'|'.join(map(re.escape, veil))})\b", REDACTED, text, flags=re.I) if veil else text
-
-
 def ask(question: str, client: Callable[[str], str], prompt: str | None = None) -> str:
     if not question.strip():
         raise ValueError("the question is empty")
