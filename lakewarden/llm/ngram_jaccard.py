@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytehash import LOWER, U, chunks, mix, string_bytes, word_hashes
@@ -32,8 +32,6 @@ GROUP, GROUP_TOKENS = 1024, 2_000_000
 SEEDS = 4
 #: Sets that a task holds against one group's union or members.
 QUERIES = 4096
-#: A segment that so many texts have is a common one.
-COMMON = 8
 #: Segments of three numbers each, about 60 bytes in memory, that are broadcast at a time, and how many times at most.
 SEGMENT_ROWS, SLICES = 400_000, 8
 
@@ -351,7 +349,8 @@ def _digests(d: DataFrame, words: int, num: int, den: int, scratch: Scratch) ->
 
 
 def _followed(sets: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFrame:
-    """(s1, k, a) of the segments that sets share with others; a is the least set of segment k. Linked sets share one of these."""
+    """(s1, k, a) of the segments by which sets are looked for; a is the least set of segment k. Linked sets have one of these in
+    common."""
     def keys(of: int = 1, i: int = 0) -> DataFrame:
         """All sets' segments, or slice i of them."""
         out = None
@@ -362,12 +361,12 @@ def _followed(sets: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFra
         return out
 
     shared = keys().groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    shared = scratch.table(shared.select("k", F.col("lo").alias("a"), (F.col("c") >= COMMON).alias("common")), "segments")
+    shared = scratch.table(shared.select("k", F.col("lo").alias("a"), "c"), "segments")
     # A slice of them is broadcast at a time. Beyond SLICES both sides are dealt by segment; adaptive execution splits the segments
     # of many copies.
     room = min(SEGMENT_ROWS, 4 * broadcast_rows)
     slices = -(-shared.count() // room) if room else SLICES + 1
-    held = ["s1", "down", "spare", "k", "a", "common"]
+    held = ["s1", "down", "spare", "k", "a", "c"]
     if slices <= SLICES:
         star = None
         for i in range(max(1, slices)):
@@ -376,11 +375,11 @@ def _followed(sets: DataFrame, broadcast_rows: int, scratch: Scratch) -> DataFra
             star = part if star is None else star.unionByName(part)
     else:
         star = scratch.table(keys().join(shared, "k").select(*held).distinct(), "segments")
-    # Passages that many texts share fill whole segments. A set that agrees on more segments with whatever it links with than it
-    # has common ones agrees on one that is not common, so its common ones need not be followed.
-    rich = star.where("common").groupBy("s1", "down", "spare").agg(F.count(F.lit(1)).alias("h")).where("h < spare").select(F.col("s1").alias("x"), F.col("down").alias("y"))
-    out = star.join(rich, (F.col("s1") == F.col("x")) & (F.col("down") == F.col("y")), "left").where("not common or x is null").select("s1", "k", "a").distinct()
-    return scratch.table(out, "followed")
+    # Passages that many texts share fill whole segments. A set agrees on `spare` segments at least with whatever it links with, so
+    # it can leave out its spare - 1 most frequent ones: in one order of all segments, the rarest that two linked sets agree on has
+    # spare - 1 of them behind it in either set, and is left out by neither.
+    rank = F.row_number().over(Window.partitionBy("s1", "down").orderBy(F.desc("c"), F.desc("k")))
+    return scratch.table(star.withColumn("rank", rank).where("rank >= spare").select("s1", "k", "a"), "followed")
 
 
 def _families(followed: DataFrame, classes: DataFrame, num: int, den: int, group: int, broadcast_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
