@@ -4,8 +4,9 @@ Similar documents are partitioned into groups; each group's token union is store
 its overlap with every member, and only groups that the bound lets pass are opened, for the documents that pass it (after Li,
 Zhang, Sun and Liu, "LES3", VLDB 2021). The partition itself must not part documents that link: every set is cut into segments by
 token hash, in spaces of similar set sizes, with more filled segments than two linked sets can differ in, so linked sets agree on
-one segment at least (Deng, Li, Wen and Feng, VLDB 2016). Sets that agree on a segment are joined into families, and groups are
-cut from families. Most families are one group, which is opened at once. A larger family is cut into groups by size; when those
+one segment at least (Deng, Li, Wen and Feng, VLDB 2016). How many they must agree on is known for each set, so each leaves out as
+many, less one, of its most frequent segments: what remains of two linked sets still agrees, and passages that many texts share join
+nothing. Sets that agree on a segment are joined into families, and groups are cut from families. Most families are one group, which is opened at once. A larger family is cut into groups by size; when those
 are opened most of its sets fall into few classes, and it is cut anew by class. Then each set meets the unions of those groups only
 that hold a set of another class with which it agrees on a segment, and what passes the bound is compared with the members.
 """

@@ -12,9 +12,10 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakewarden.llm import ngram_jaccard, quality_classifier, quality_rules, sentencepieces
+from lakewarden.llm import common, ngram_jaccard, quality_classifier, quality_rules, sentencepieces
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,6 +87,38 @@ def test_jaccard_near_the_threshold(spark, monkeypatch, k, num, den):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def followed(spark, texts, k, num, den):
+    """[(id, segments followed, by their other ends)] of the sets of {id: text}."""
+    scratch = common.Scratch(spark)
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("h", F.xxhash64("text"))
+    sets, known, _ = ngram_jaccard._digests(docs, k, num, den, scratch)
+    held = defaultdict(dict)
+    for r in ngram_jaccard._followed(sets, common.BROADCAST_ROWS, scratch).collect():
+        held[r["s1"]][r["k"]] = r["a"]
+    out = {r["id"]: (r["s1"], held[r["s1"]]) for r in sets.collect()}
+    scratch.drop()
+    return out
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_linked_sets_follow_a_common_segment(spark, k, num, den):
+    texts = dict(enumerate(near_the_threshold()))
+    held, sets = followed(spark, texts, k, num, den), {i: shingles(t, k) for i, t in texts.items()}
+    linked = [
+        (i, j) for i in texts for j in range(i)
+        if sets[i] and len(sets[i] & sets[j]) * den >= len(sets[i] | sets[j]) * num and sets[i] != sets[j]
+    ]
+    assert len(linked) > 100
+    assert all(held[i][1].keys() & held[j][1].keys() for i, j in linked)
+
+
+def test_a_common_passage_makes_no_family(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: " ".join(f"d{i}w{j}" for j in range(600)) + " " + passage for i in range(200)}
+    held = followed(spark, texts, 5, 4, 5)
+    assert not [i for i, (s1, segments) in held.items() if any(a != s1 for a in segments.values())]
+
+
 def repeated_words(w):
     c, hit = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7)), set()
     for i in range(len(w) - 7):
