@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import GovernanceError, policy_denied, syntax_error, unknown
 from ..functions.names import suggest
 from ..semantic.model import Registry
+from .bands import banded
 from .policy import OPEN, UNKNOWN_PRINCIPAL, Resolved
 from .syntax import Statement, parse
 
@@ -143,9 +144,10 @@ def analyse(session: GovernedSession, st: Statement, params: Sequence = ()) -> D
     if marks != len(params):
         raise syntax_error(f"the statement has {marks} parameters and {len(params)} values were given")
     try:
-        return session.spark.sql(st.text, args=list(params) if params else None)
+        frame = session.spark.sql(st.text, args=list(params) if params else None)
     except AnalysisException as e:
         raise translate(session, st, e) from None
+    return banded(frame)
 
 
 def translate(session: GovernedSession, st: Statement, e: AnalysisException) -> GovernanceError:
