@@ -5,7 +5,8 @@ Only positions within the longest piece's length can still be reached, so when t
 one boundary, everything before it is final: its ids are committed and the window moves on. The search holds a few times the
 longest piece's length of backpointers, whatever the text's length; the text and its ids are held as long as they are, as any row
 is. Between two characters that no piece holds side by side all paths meet at once; what the search says of the stretches between
-such points is remembered by each task, within bounds.
+such points is remembered by each task, within bounds, and so is where the search stands after a stretch's first characters: one that
+starts alike is searched from there on.
 
 Unigram models take the segmentation of the greatest score. BPE models have one segmentation for each prefix; the last piece of
 it is the only one that, joined to the last piece of what precedes it, is left as it is by the merges, so the same search finds
@@ -20,6 +21,8 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -35,6 +38,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches that a task remembers at most, in each of two generations, and characters in a stretch that is.
 MEMORY, MEMORY_CHARS = 250_000, 48
+#: Characters at the start of a stretch up to which the search is remembered, and starts that a task remembers at most.
+STEM, STEMS = 6, 100_000
+#: Characters whose stretches are looked up at once.
+AT_ONCE = 20_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -104,13 +111,15 @@ class Search:
         self.ends: dict[str, tuple[list, list] | None] = {}
         self.joined = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
         self.fit_ids: dict[int, bool] = {}
-        # Lengths of the pieces, from the longest, by their last three characters (or all they have).
+        # Lengths of the pieces of four and more characters, from the longest, by their last three.
         tails: dict[str, set[int]] = {}
         for p in model.ids:
-            for k in range(1, min(3, len(p)) + 1):
-                if k == 3 or k == len(p):
-                    tails.setdefault(p[-3:], set()).add(len(p))
-        self.tails = {t: tuple(sorted(x, reverse=True)) for t, x in tails.items()}
+            if len(p) > 3:
+                tails.setdefault(p[-3:], set()).add(len(p))
+        self.longer = {t: sorted(x, reverse=True) for t, x in tails.items()}
+        self.tails: dict[str, tuple] = {}
+        self.stems: dict[str, tuple[list, list, list]] = {}
+        self.cut = re.compile(f"[^{SPACE}]{SPACE}")
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if model.by_word else re.compile(r"(?s).+")
         self.widest = 0  # backpointers kept at once, at most
 
@@ -187,32 +196,45 @@ class Search:
         size = len(self.m.pieces)
         return self.m.pieces[x][0] if x < size else "" if x == size else chr(x - size - 1)
 
+    def ending(self, tail: str) -> tuple:
+        """The last pieces that a text ending in tail (its last three characters, or all it has) can have, from the longest: each as
+        (length, id), the id -1 if it depends on more than tail."""
+        out = [(k, -1) for k in self.longer.get(tail, ())]
+        out += [(k, x) for k in range(len(tail), 0, -1) if (x := self.m.ids.get(tail[-k:], len(self.m.pieces) + 1 + ord(tail[-1]) if k == 1 else None)) is not None]
+        if len(self.tails) > MEMORY:
+            self.tails.clear()
+        self.tails[tail] = found = tuple(out)
+        return found
+
     def segments(self, text: str) -> Iterator[list[int]]:
         """The pieces of a stretch in order, each as soon as it is certain; unknown characters by len(pieces) + 1 + code point."""
         size, longest, get, bpe = len(self.m.pieces), self.m.longest, self.m.ids.get, self.m.bpe
         tails, fits, room = self.tails, self.fit_ids, 4 * longest + 2
         # Of position base + i: start and id of its last piece, and for unigram models the score.
         base, back, last, score = 0, [0], [size], [0.0]
-        for end in range(1, len(text) + 1):
+        # The search has been the same up to there for each text that starts alike.
+        if stem := self.stems.get(text[:STEM]) if len(text) > STEM else None:
+            back, last, score = stem[0][:], stem[1][:], stem[2][:]
+        for end in range(len(back), len(text) + 1):
             if bpe:  # the one last piece that the merges leave in text[:end]
-                start, x = end - 1, -1
-                for k in (*tails.get(text[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
-                    if (at := end - k) < base:
+                tail = text[end - 3 : end] if end > 2 else text[:end]
+                try:
+                    ending = tails[tail]
+                except KeyError:
+                    ending = self.ending(tail)
+                for k, x in ending:
+                    if (start := end - k) < base or (x < 0 and (x := get(text[start:end], -1)) < 0):
                         continue
-                    if (y := get(text[at:end])) is None:
-                        if k > 1:
-                            continue
-                        y = size + 1 + ord(text[at])
-                    before = last[at - base]
-                    if (ok := fits.get(before << 22 | y)) is None:
+                    pair = last[start - base] << 22 | x
+                    try:
+                        ok = fits[pair]
+                    except KeyError:
                         if len(fits) > 2 * MEMORY:
                             fits.clear()
-                        ok = fits[before << 22 | y] = self.compatible(self.string(before), text[at:end])
+                        ok = fits[pair] = self.compatible(self.string(last[start - base]), text[start:end])
                     if ok:
-                        start, x = at, y
                         break
-                if x < 0:
-                    x = get(text[start], size + 1 + ord(text[start]))
+                # Where none fits, the last of them is the character itself.
             else:  # the last piece of the segmentation of text[:end] of the greatest score
                 start, x, top = end - 1, size + 1 + ord(text[end - 1]), -1e30
                 for at in range(max(base, end - longest), end):
@@ -227,13 +249,17 @@ class Search:
                 score.append(top)
             back.append(start)
             last.append(x)
+            if end == STEM < len(text):
+                if len(self.stems) >= STEMS:
+                    self.stems.clear()
+                self.stems[text[:STEM]] = back[:], last[:], score[:]
             if end - base > room:
                 self.widest = max(self.widest, len(back))
                 # All paths that can still grow start at the last `longest` positions; where they meet, the past is certain.
                 live = set(range(end - longest + 1, end + 1))
                 while len(live) > 1:
-                    live.discard(x := max(live))
-                    live.add(back[x - base] if x > base else base)
+                    live.discard(at := max(live))
+                    live.add(back[at - base] if at > base else base)
                 meet = live.pop()
                 if meet > base:
                     yield self._walk(back, last, base, meet)
@@ -254,7 +280,7 @@ class Search:
         size, out, unknown = len(self.m.pieces), array("i"), False
         for run in self.segments(stretch):
             if max(run, default=0) < size:
-                out.extend(run)
+                out.fromlist(run)
                 unknown = unknown and not run
                 continue
             for x in run:
@@ -269,15 +295,15 @@ class Search:
 
     def _parted(self, stretch: str) -> bytes:
         """A stretch cut where no piece holds both neighbours."""
-        joined = self.joined
-        cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in joined]
-        if not cuts or not self.m.byte_fallback:
+        held = [*map(self.joined.__contains__, map(add, stretch, stretch[1:]))]
+        if all(held) or not self.m.byte_fallback:
             return self.ids_of(stretch)
-        out = []
+        cuts, out = [i for i, x in enumerate(held, 1) if not x], []
         for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True):
             s = stretch[i:j]
             if (x := self.memory.get(s)) is None:
-                x = self.ids_of(s)
+                if (x := self.older.get(s)) is None:
+                    x = self.ids_of(s)
                 if len(s) <= MEMORY_CHARS and len(self.memory) < MEMORY:
                     self.memory[s] = x
             out.append(x)
@@ -291,19 +317,29 @@ class Search:
         text = text.replace(" ", SPACE)
         if self.m.prefix:
             text = SPACE + text
-        memory, out = self.memory, bytearray()
-        for found in self.stretch.finditer(text):
-            s = found[0]
-            if (x := memory.get(s)) is None:
-                if (x := self.older.get(s)) is None:
-                    x = self._parted(s)
-                if len(s) <= MEMORY_CHARS:
-                    if len(memory) >= MEMORY:
-                        self.older, memory = memory, {}
-                        self.memory = memory
-                    memory[s] = x
-            out += x
-        return np.frombuffer(bytes(out), np.int32)
+        start, out = 0, []
+        while start < len(text):
+            # Stretches of so many characters at once, cut where one ends; all of them if they are no words.
+            end = self.cut.search(text, start + AT_ONCE) if self.m.by_word else None
+            end = end.end() - 1 if end else len(text)
+            stretches = self.stretch.findall(text, start, end)
+            start, new = end, {s: self._remembered(s) for s in filterfalse(self.memory.__contains__, stretches)}
+            try:
+                out.append(b"".join(map(self.memory.__getitem__, stretches)))
+            except KeyError:  # one is too long to be remembered, or the memory has just become the older one
+                out.append(b"".join([new[s] if s in new else self._remembered(s) for s in stretches]))
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def _remembered(self, s: str) -> bytes:
+        """The ids of a stretch that the newer memory lacked."""
+        if (x := self.memory.get(s)) is None:
+            if (x := self.older.get(s)) is None:
+                x = self._parted(s)
+            if len(s) <= MEMORY_CHARS:
+                if len(self.memory) >= MEMORY:
+                    self.older, self.memory = self.memory, {}
+                self.memory[s] = x
+        return x
 
 
 class Decoder:
@@ -313,7 +349,7 @@ class Decoder:
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 

@@ -223,6 +223,47 @@ def test_sentencepieces_window_is_bounded():
     assert s.encode(text).tolist() == sp.encode(text) and s.widest <= 5 * s.m.longest + 3
 
 
+def test_sentencepieces_search_goes_on_from_a_known_start():
+    """Words that start alike are searched from there on; one look at the end of the text is taken for each position searched."""
+    import sentencepiece
+
+    class Counting(dict):
+        looks = 0
+
+        def __getitem__(self, key):
+            self.looks += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.looks += 1
+            return super().get(key, default)
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    s = sentencepieces.Search(sentencepieces.Model(open(sentencepieces.MODEL, "rb").read()))
+    s.tails = Counting(s.tails)
+    rnd = random.Random(9)
+    words = list({"inter" + "".join(rnd.choices("aeinorst", k=6)) for _ in range(2000)})
+    assert s.encode(" ".join(words)).tolist() == sp.encode(" ".join(words))
+    assert 6 * len(words) <= s.tails.looks <= 6 * len(words) + 6
+
+
+def test_sentencepieces_with_little_memory(monkeypatch):
+    """Generations of the memory that change within a text, starts that are forgotten, stretches that are not remembered, and texts of
+    many looks at once give the library's ids."""
+    import sentencepiece
+
+    for name, n in (("MEMORY", 20), ("STEMS", 5), ("AT_ONCE", 60)):
+        monkeypatch.setattr(sentencepieces, name, n)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    s = sentencepieces.Search(sentencepieces.Model(open(sentencepieces.MODEL, "rb").read()))
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("etaonéß.\n漢", k=rnd.choice((1, 3, 6, 7, 12, 60)))) for _ in range(120)]
+    for n in (1, 30, 400, 400, 400):
+        text = rnd.choice(("", " ", "   ")).join(["", *(rnd.choice(words) + " " * rnd.randrange(1, 4) for _ in range(n))])
+        assert s.encode(text).tolist() == sp.encode(text)
+    assert len(s.stems) <= 5 and len(s.memory) <= 21
+
+
 def test_many_rules(spark):
     """Ten thousand rules: the verdicts are those of trying every rule, and few regular expressions run."""
     rnd = random.Random(11)
